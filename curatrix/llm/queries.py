@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.llm.bpe import encode_decode
 from curatrix.llm.common import table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
 from curatrix.llm.topk import top_k
@@ -25,6 +26,19 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding")
 
 
+def public_tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, as their package gives it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_decode(docs, "text", public_tokenizer("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 OP3_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -39,6 +53,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_exact_topk": op3_exact_topk,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {
