@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.llm import secrets, warc
 from curatrix.llm.bpe import encode_decode
 from curatrix.llm.common import table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
@@ -26,6 +27,14 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.scan(docs, "text", secrets.train(secrets.samples(docs, "text")))
+    n = {k: secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS}
+    base = F.sha2(secrets.joined(F.col("spans"), secrets.KINDS[:3]).cast("binary"), 256)
+    return out.select("doc_id", n["assign"], n["access"], n["hex"], base.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n["model"])
+
+
 def public_tokenizer(name: str) -> str:
     """The place of a public tokenizer's file, as their package gives it."""
     import public_tokenizers
@@ -39,6 +48,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND last IS NOT NULL AND (page_id IS NULL OR page_id < last) AS revisit FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN last END AS refers_to FROM r
+"""
+
 OP3_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -53,9 +75,12 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_exact_topk": op3_exact_topk,
+    "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_topk": OP3_SQL,
+    "op9_warc": OP9_SQL,
 }
