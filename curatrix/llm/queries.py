@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import secrets, warc
+from curatrix.llm import quality, secrets, warc
 from curatrix.llm.bpe import encode_decode
 from curatrix.llm.common import table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
@@ -22,6 +22,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    light = quality.resample(docs, "text", "doc_id", table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return light.select("doc_id", "log_ratio", "key", "selected")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding")
@@ -74,6 +80,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op3_exact_topk": op3_exact_topk,
     "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
