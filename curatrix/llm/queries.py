@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import quality, secrets, warc
+from curatrix.llm import hmm, quality, secrets, warc
 from curatrix.llm.bpe import encode_decode
 from curatrix.llm.common import table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
@@ -33,6 +33,15 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding")
 
 
+def in_part(id_column: str, parts: int, part: int) -> Column:
+    """Whether crc32 of an id as text leaves this remainder; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts == part
+
+
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", in_part("doc_id", 5, 1))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = secrets.scan(docs, "text", secrets.train(secrets.samples(docs, "text")))
@@ -82,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_exact_topk": op3_exact_topk,
+    "op5_hmm": op5_hmm,
     "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
