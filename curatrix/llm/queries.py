@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import hmm, quality, secrets, warc
+from curatrix.llm import decontamination, hmm, quality, secrets, warc
 from curatrix.llm.bpe import encode_decode
 from curatrix.llm.common import table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
@@ -33,6 +33,13 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.scan(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    leak = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return leak.select("doc_id", "leak.item_id", "leak.score", F.col("leak.start").alias("first_word"), F.col("leak.end").alias("end_word"))
+
+
 def in_part(id_column: str, parts: int, part: int) -> Column:
     """Whether crc32 of an id as text leaves this remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts == part
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_exact_topk": op3_exact_topk,
+    "op4_decontamination": op4_decontamination,
     "op5_hmm": op5_hmm,
     "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
