@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import decontamination, hmm, quality, secrets, warc
+from curatrix.llm import decontamination, hmm, neardup, quality, secrets, warc
 from curatrix.llm.bpe import encode_decode
 from curatrix.llm.common import table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
@@ -57,6 +57,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n["assign"], n["access"], n["hex"], base.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n["model"])
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join_similar(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def public_tokenizer(name: str) -> str:
     """The place of a public tokenizer's file, as their package gives it."""
     import public_tokenizers
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_hmm": op5_hmm,
     "op6_secrets": op6_secrets,
+    "op7_neardup": op7_neardup,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
 }
