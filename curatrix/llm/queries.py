@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import decontamination, hmm, neardup, quality, secrets, warc
+from curatrix.llm import decontamination, hmm, neardup, quality, secrets, toxicity, warc
 from curatrix.llm.bpe import encode_decode
 from curatrix.llm.common import table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
@@ -79,6 +79,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_part("doc_id", 4, 2)
+    windows = toxicity.training_windows(docs, "text", "doc_id", table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    out = toxicity.score(docs, "text", toxicity.fit(*windows))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p),
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_neardup": op7_neardup,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
