@@ -153,3 +153,26 @@ def joined(spans, kinds: tuple[str, ...] = KINDS):
 def count_of(spans, kind: str):
     """The number of spans of one kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def redact(df: DataFrame, text: str, mark: str = "[SECRET]") -> DataFrame:
+    """``df`` without ``spans``, which are replaced by ``mark`` in the text; overlapping ones together."""
+    kept = [f for f in df.schema.fields if f.name != "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, spans in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
+                if not spans:
+                    out.append(t)
+                    continue
+                pieces, low = [], 0
+                for a, b in sorted((s["start"], s["end"]) for s in spans):
+                    if a >= low:
+                        pieces += [t[low:a], mark]
+                    low = max(low, b)
+                out.append("".join([*pieces, t[low:]]))
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "spans"} | {text: pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in kept], names=[f.name for f in kept])
+
+    return df.mapInArrow(run, T.StructType(kept))
