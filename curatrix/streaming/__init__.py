@@ -1,0 +1 @@
+"""Nothing here is a stream: all sources are folders and tables that are read whole."""
