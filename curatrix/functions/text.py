@@ -5,6 +5,8 @@ All of it stays in the JVM. Java's patterns need ``(?U)`` for Unicode white spac
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ PAREN = r"\([^)]*\)"
 _MIX = "(?:" + "|".join(MIX_WORDS) + ")"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(c), lambda x: f(x)), 1)
+
+
 def utrim(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -59,23 +66,21 @@ def sort_names(c: Column) -> Column:
 def sort_artists(c: Column, alphabetical: bool = True) -> Column:
     """Both sides of the first ``feat.`` sorted for themselves; acts joined by ``&`` stay whole."""
     a = std_feat(c)
-    if not alphabetical:
-        return a
-    sides = F.split(a, FEAT_SPLIT, 2)
-    return F.when(F.size(sides) == 2, F.concat(sort_names(sides[0]), F.lit(" feat. "), sort_names(sides[1]))).otherwise(sort_names(a))
+    return F.array_join(F.transform(F.split(a, FEAT_SPLIT, 2), sort_names), " feat. ") if alphabetical else a
 
 
 def dedupe_parens(c: Column) -> Column:
     """A group in parentheses goes if an earlier one has the same letters and digits, if any."""
     pieces = F.regexp_extract_all(c, F.lit(r"(\([^)]*\)|[^(]+|\()"), F.lit(1))
+    keyed = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.when(p.rlike(r"(?s)^\([^)]*\)$"), F.regexp_replace(F.lower(p), "[^a-z0-9]", "")).otherwise("").alias("key")))
     empty = F.struct(F.lit("").alias("out"), F.array().cast("array<string>").alias("seen"))
 
-    def fold(acc: Column, piece: Column) -> Column:
-        key = F.when(piece.rlike(r"(?s)^\([^)]*\)$"), F.regexp_replace(F.lower(piece), "[^a-z0-9]", "")).otherwise("")
-        again = (key != "") & F.array_contains(acc["seen"], key)
-        return F.struct(F.when(again, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"), F.when(key == "", acc["seen"]).otherwise(F.array_append(acc["seen"], key)).alias("seen"))
+    def fold(acc: Column, p: Column) -> Column:
+        again = (p["key"] != "") & F.array_contains(acc["seen"], p["key"])
+        return F.struct(F.when(again, acc["out"]).otherwise(F.concat(acc["out"], p["piece"])).alias("out"), F.when(p["key"] == "", acc["seen"]).otherwise(F.array_append(acc["seen"], p["key"])).alias("seen"))
 
-    return one_space(F.aggregate(pieces, empty, fold, lambda acc: acc["out"]))
+    whole = one_space(F.aggregate(keyed, empty, fold, lambda acc: acc["out"]))
+    return F.when(F.contains(c, F.lit("(")), whole).otherwise(one_space(c))
 
 
 def sanitize(c: Column) -> Column:
@@ -105,7 +110,7 @@ def parse_name(c: Column) -> tuple[Column, Column]:
     """Artist and title of ``Artist - Title.ext``; without a separator all of it is the title."""
     parts = F.split(splitext(c)[0], " - ", 2)
     two = F.size(parts) == 2
-    return F.when(two, utrim(parts[0])).otherwise(""), F.when(two, utrim(F.get(parts, F.lit(1)))).otherwise(utrim(parts[0]))
+    return utrim(F.when(two, F.get(parts, F.lit(0))).otherwise("")), utrim(F.element_at(parts, -1))
 
 
 def strip_track_number(c: Column) -> Column:
@@ -126,11 +131,11 @@ def base_of_name(c: Column) -> Column:
 def parse_base(base: Column, parts: Column | None = None) -> tuple[Column, Column]:
     """Artist ('' where there is none) and title of a name's base; ``parts`` are its segments."""
     parts = segments(base) if parts is None else parts
-    last = F.element_at(parts, -1)
-    compilation = (F.size(parts) >= 3) & F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")).rlike(r"(?U)^\d{1,2}\s+\S")
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    compilation = (F.size(parts) >= 3) & last.rlike(r"(?U)^\d{1,2}\s+\S")
     sides = F.split(base, " - ", 2)
-    artist = F.when(is_slug(base), "").when(compilation, F.get(parts, F.lit(0))).when(F.size(sides) == 2, utrim(sides[0])).otherwise("")
-    title = F.when(is_slug(base), titlecase_slug(base)).when(compilation, F.regexp_replace(last, r"(?U)^\d{1,2}\s+", "")).when(F.size(sides) == 2, utrim(F.get(sides, F.lit(1)))).otherwise(utrim(base))
+    artist = F.when(is_slug(base), "").when(compilation, F.get(parts, F.lit(0))).when(F.contains(base, F.lit(" - ")), utrim(F.get(sides, F.lit(0)))).otherwise("")
+    title = F.when(is_slug(base), titlecase_slug(base)).when(compilation, F.regexp_replace(last, r"(?U)^\d{1,2}\s+", "")).otherwise(utrim(F.element_at(sides, -1)))
     return artist, title
 
 
@@ -141,8 +146,8 @@ def parse_filename(c: Column) -> tuple[Column, Column]:
 def add_missing_mix(title: Column, name_title: Column) -> Column:
     """A title without a mix in parentheses gets those of the file name's title."""
     found = F.filter(F.regexp_extract_all(name_title, F.lit(f"({PAREN})"), F.lit(1)), lambda p: p.rlike("(?i)" + _MIX))
-    longer = utrim(F.concat_ws(" ", title, F.array_join(found, " ")))
-    return F.when((name_title == "") | title.rlike(rf"(?i)\([^)]*{_MIX}[^)]*\)") | (F.size(found) == 0), title).otherwise(longer)
+    longer = let(F.array_join(found, " "), lambda more: F.when(more == "", title).otherwise(utrim(F.concat_ws(" ", title, more))))
+    return F.when((name_title == "") | title.rlike(rf"(?i)\([^)]*{_MIX}[^)]*\)"), title).otherwise(longer)
 
 
 def normalized(c: Column, form: str) -> Column:

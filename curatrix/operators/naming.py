@@ -55,11 +55,12 @@ def add_suffixes(plan: DataFrame) -> DataFrame:
 
     A suffixed name isn't checked again.
     """
-    n = F.row_number().over(Window.partitionBy(F.lower("new")).orderBy("old"))
+    # Names left to a person form no group: their window's second key keeps them apart.
+    window = Window.partitionBy(F.lower("new"), F.when(F.col("new") == "", F.col("old"))).orderBy("old")
+    numbered = plan.withColumn("__n", F.row_number().over(window))
     root, ext = t.splitext(F.col("new"))
-    numbered = plan.where("new <> ''").withColumn("__n", n)
-    named = numbered.withColumn("new", F.when(F.col("__n") > 1, F.concat(root, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext)).otherwise(F.col("new")))
-    return named.drop("__n").unionByName(plan.where("new = ''"))
+    again = (F.col("new") != "") & (F.col("__n") > 1)
+    return numbered.withColumn("new", F.when(again, F.concat(root, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext)).otherwise(F.col("new"))).drop("__n")
 
 
 def plan_names(files: DataFrame, tags: DataFrame | None = None, options: Options = Options()) -> DataFrame:  # noqa: B008
