@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,29 @@ from curatrix.operators.codec import tags_of
 from curatrix.operators.ranking import number_rows
 
 
+def all_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """``path`` of every file, empty ones too, which Spark's reader of contents leaves out.
+
+    The paths come from the index of files that the reader keeps on the driver in any case.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    paths = [(unquote(p),) for p in found.inputFiles()]
+    parts = max(1, len(paths) // 100_000)
+    return spark.createDataFrame(paths, "path string").repartition(parts)
+
+
 def list_files(spark: SparkSession, folder: str, recursive: bool = False, extensions: tuple[str, ...] = t.FILE_EXTENSIONS, content: bool = False) -> DataFrame:
     """``path, name, size`` (and ``content``) of the files with these extensions, any case.
 
     Contents are read only where they are asked for.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    name = t.split_path(F.col("path"))[1]
-    rows = found.select("path", name.alias("name"), F.col("length").alias("size"), *(["content"] if content else []))
-    return rows.where(t.has_extension(F.col("path"), extensions))
+    here = t.has_extension(F.col("path"), extensions)
+    sized = found.select("path", F.col("length").alias("size"), *(["content"] if content else [])).where(here)
+    empty = all_files(spark, folder, recursive).where(here).join(found.select("path"), "path", "left_anti")
+    empty = empty.select("path", F.lit(0).cast("long").alias("size"), *([F.lit(b"").alias("content")] if content else []))
+    rows = sized.unionByName(empty)
+    return rows.select("path", t.split_path(F.col("path"))[1].alias("name"), *rows.columns[1:])
 
 
 def walk_order(path: str = "path"):  # noqa: ANN201
@@ -52,4 +68,4 @@ def tag_table(spark: SparkSession, folder: str, recursive: bool = False) -> Data
 
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """``path`` of every regular file below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return all_files(spark, folder, recursive=True)
