@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def all_files(spark: SparkSession, folder: str, recursive: bool = False) -> Data
     The paths come from the index of files that the reader keeps on the driver in any case.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    paths = [(unquote(p),) for p in found.inputFiles()]
+    paths = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()]  # as the reader has it
     parts = max(1, len(paths) // 100_000)
     return spark.createDataFrame(paths, "path string").repartition(parts)
 
