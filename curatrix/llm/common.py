@@ -1,54 +1,34 @@
-"""What the operators of this subpackage share: tables, the shared folder, lineage cuts."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.lineage import materialize, shared_path
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+__all__ = ["materialize", "shared_path", "small_batches", "table", "text_or_empty"]
 
-    Only a session that names none (a local test) gets a temporary folder of this machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="curatrix-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+#: Bytes of an Arrow batch between Spark and Python. Both hold a few at a time, beside the heap.
+BATCH_BYTES = 8 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialize(df: DataFrame, what: str = "step") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays.
 
-    This cuts the lineage: a lost executor costs a read, not the work above. Later readers keep
-    column pruning and filters, which a checkpoint() of rows does not give.
+    Spark's own bound, 64 MB, is held several times over by each task and its Python worker.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    now = spark.conf.get(_SETTING, "64m").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    size = int(now.rstrip("kmg")) * unit
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(_SETTING, f"{BATCH_BYTES}b")
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system, whichever store holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_or_empty(df: DataFrame, column: str = "text"):

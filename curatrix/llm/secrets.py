@@ -125,6 +125,14 @@ def samples(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "random boolean, pair int, n long")
 
 
+def find(text: str, model: np.ndarray, min_ratio: float) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all spans of a text, in order."""
+    base = base_spans(text)
+    found = [(s[0], s[1], s[2]) for s in base]
+    found += [(a, 3, b) for a, b in candidates(text, base) if ratio(model, text[a:b]) > min_ratio]
+    return sorted(found)
+
+
 def scan(df: DataFrame, text: str, model: np.ndarray, min_ratio: float = MIN_RATIO) -> DataFrame:
     """``df`` with ``spans``: kind, start and end in code points, by start and then kind as listed."""
     schema = T.StructType([*df.schema.fields, T.StructField("spans", _SPAN)])
@@ -132,18 +140,39 @@ def scan(df: DataFrame, text: str, model: np.ndarray, min_ratio: float = MIN_RAT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
-            out = []
-            for t in block.column(block.schema.get_field_index(text)).to_pylist():
-                t = t or ""
-                base = base_spans(t)
-                found = [(s[0], s[1], s[2]) for s in base]
-                found += [(a, 3, b) for a, b in candidates(t, base) if ratio(model, t[a:b]) > min_ratio]
-                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)])
+            texts = block.column(block.schema.get_field_index(text)).to_pylist()
+            out = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find(t or "", model, min_ratio)] for t in texts]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(out, span)], names=[*block.schema.names, "spans"])
 
     return df.mapInArrow(run, schema)
 
 
+def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with ``mark`` for its spans; overlapping ones have one mark."""
+    pieces, low = [], 0
+    for a, _, b in spans:
+        if a >= low:
+            pieces += [text[low:a], mark]
+        low = max(low, b)
+    return "".join([*pieces, text[low:]])
+
+
+def redact(df: DataFrame, text: str, model: np.ndarray, mark: str = "[SECRET]", min_ratio: float = MIN_RATIO) -> DataFrame:
+    """``df`` with ``mark`` in place of all secrets of its texts; null texts stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text):
+            at = block.schema.get_field_index(text)
+            columns, out = list(block.columns), []
+            for t in block.column(at).to_pylist():
+                spans = find(t, model, min_ratio) if t else []
+                out.append(redacted(t, spans, mark) if spans else t)
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=block.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def joined(spans, kinds: tuple[str, ...] = KINDS):
     """``kind:start:end`` of the spans of these kinds, joined with commas."""
     kept = F.filter(spans, lambda s: s["kind"].isin(*kinds))
@@ -153,26 +182,3 @@ def joined(spans, kinds: tuple[str, ...] = KINDS):
 def count_of(spans, kind: str):
     """The number of spans of one kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-
-
-def redact(df: DataFrame, text: str, mark: str = "[SECRET]") -> DataFrame:
-    """``df`` without ``spans``, which are replaced by ``mark`` in the text; overlapping ones together."""
-    kept = [f for f in df.schema.fields if f.name != "spans"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, spans in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
-                if not spans:
-                    out.append(t)
-                    continue
-                pieces, low = [], 0
-                for a, b in sorted((s["start"], s["end"]) for s in spans):
-                    if a >= low:
-                        pieces += [t[low:a], mark]
-                    low = max(low, b)
-                out.append("".join([*pieces, t[low:]]))
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "spans"} | {text: pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in kept], names=[f.name for f in kept])
-
-    return df.mapInArrow(run, T.StructType(kept))

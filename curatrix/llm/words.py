@@ -7,6 +7,7 @@ hash is its polynomial in 2**64, found for all words at once from one running su
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
 _ROOT = 0x9E3779B97F4A7C15 | 5
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
 _STEP = 1 << 19
@@ -64,16 +67,24 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``most`` bytes of text, or one longer text."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, at = text_buffers(batch.column(batch.schema.get_field_index(column)))
-        low = 0
-        while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
-            yield batch.slice(low, high - low)
-            low = high
+    """The batches cut so that each holds about ``most`` bytes of text, or one longer text.
+
+    When a task ends, its worker gives free memory back: workers live on for other stages' tasks.
+    """
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, at = text_buffers(batch.column(batch.schema.get_field_index(column)))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+                yield batch.slice(low, high - low)
+                low = high
+    finally:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
 
 
 class Words:
