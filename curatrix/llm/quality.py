@@ -123,7 +123,7 @@ def score(df: DataFrame, text: str, ratio: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
             bucket, of = features(block.column(block.schema.get_field_index(text)))
-            sums = np.bincount(of, known.value[bucket], minlength=block.num_rows)
+            sums = np.bincount(of, known.value[bucket], minlength=block.num_rows).astype(np.float64)  # of nothing it gives integers
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(sums)], names=[*block.schema.names, "log_ratio"])
 
     return df.mapInArrow(run, schema)
