@@ -82,8 +82,8 @@ def signatures(df: DataFrame, id_column: str, text: str, n: int, trees: int, dep
     return rows.mapInArrow(run, "id long, text_key binary, keys array<long>")
 
 
-def similar(sets: list[np.ndarray], tile: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sets whose Jaccard index reaches the threshold; of two tiles only pairs across."""
+def similar(sets: list[np.ndarray], tile: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of sets whose Jaccard index reaches the threshold; only pairs across tiles, if asked."""
     size = np.array([len(s) for s in sets])
     doc, gram = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
     order = np.argsort(gram, kind="stable")
@@ -104,7 +104,7 @@ def similar(sets: list[np.ndarray], tile: np.ndarray, threshold: float) -> tuple
         low += width
     union = size[:, None] + size[None, :] - both
     good = np.triu(both >= threshold * union - 1e-9, 1)
-    if tile.min() != tile.max():
+    if across:
         good &= tile[:, None] != tile[None, :]
     return np.nonzero(good)
 
@@ -125,13 +125,13 @@ def verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """``id, links, root`` for the texts with links of each piece; pieces come one after the other."""
 
     def piece(batch: pa.RecordBatch) -> list[tuple[int, int, int]]:
-        key = batch.column(0)[0].as_py()
+        key, low, high = (batch.column(k)[0].as_py() for k in range(3))
         if batch.num_rows < 2:
             return []
         tile, ids, copies = (batch.column(k).to_numpy() for k in (3, 4, 5))
         keys = batch.column(6).flatten().to_numpy().reshape(len(ids), -1)
         grams, _, ptr = Words(batch.column(7)).ngrams(n)
-        i, j = similar([np.unique(grams[a:b]) for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)], tile, threshold)
+        i, j = similar([np.unique(grams[a:b]) for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)], tile, low != high, threshold)
         same = keys[i] == keys[j]
         own = keys[i, same.argmax(1)] == key  # the first subtree that both share is this one
         i, j = i[own], j[own]
