@@ -7,7 +7,7 @@ it: the values that the patterns found are random strings, and all runs of lette
 ``-`` outside them are ordinary identifiers. Counts of character pairs are summed across partitions;
 the driver gets two tables of fixed size.
 
-A token is scored as a whole run of token characters of MIN_TOKEN or more that overlaps no pattern's
+A token is scored as a whole run of 20 token characters or more that overlaps no pattern's
 span and mixes letters with digits, or letter cases; the log-likelihood ratio must pass MIN_RATIO a
 character.
 
@@ -36,7 +36,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIN_TOKEN, MIN_RATIO = 20, 1.0
+#: Of log10, for each character: 10**10 to 1 for the shortest token.
+MIN_RATIO = 0.5
+RANDOM_PRIOR = 8.0
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 #: Characters of the models: letters, digits and the signs of base64 and names; 0 stands for an edge.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -83,13 +85,13 @@ def candidates(text: str, spans: list) -> list[tuple[int, int]]:
 def train(samples: DataFrame) -> np.ndarray:
     """Log10 ratio of both models for each pair, from rows (random boolean, pair int, n long).
 
-    Each model is P(next | character), with half a count added to every pair.
+    Each model is P(next | character). Every pair starts with half a count for identifiers and with
+    RANDOM_PRIOR for random strings, in which any pair may occur.
     """
     counts = np.full((2, SIZE, SIZE), 0.5)
+    counts[1] = RANDOM_PRIOR
     for r in samples.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect():
         counts[int(r["random"])].reshape(-1)[r["pair"]] += r["n"]
-    if counts[1].sum() == 0.5 * SIZE * SIZE:
-        counts[1] = 1.0
     counts[:, 0, 0] = 0
     p = np.log10(np.maximum(counts, 1e-9) / counts.sum(2, keepdims=True))
     return p[1] - p[0]
