@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from curatrix.llm.words import blocks, span_hashes, text_buffers
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
-BLOCK_BYTES = 1 << 22
+#: Bytes of text that are counted, and encoded, at a time.
+COUNT_BYTES, ENCODE_BYTES = 1 << 22, 1 << 21
 #: Words in the lexicon at most; words rarer than this share of a block's words aren't sent for it.
 LEXICON_WORDS, RARE_SHARE = 100_000, 2e-6
 _NONE = np.iinfo(np.int32).max
@@ -379,7 +380,7 @@ def frequent_words(df: DataFrame, text: str, words: int) -> list[bytes]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = character_classes()
-        for block in blocks(batches, text, BLOCK_BYTES):
+        for block in blocks(batches, text, COUNT_BYTES):
             data, offsets = text_buffers(block.column(0))
             starts, _ = word_spans(data, offsets, classes)
             ends, one, _, n = distinct(data, starts)
@@ -414,7 +415,7 @@ def encode_decode(df: DataFrame, text: str, tokenizer_path: str, words: int = LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(SparkFiles.get(model_name))
-        for block in blocks(batches, text, BLOCK_BYTES):
+        for block in blocks(batches, text, ENCODE_BYTES):
             ids, ptr = encode_block(model, block.column(block.schema.get_field_index(text)))
             raw, at = ids.astype("<u4").tobytes(), (ptr * 4).tolist()
             packed = pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
