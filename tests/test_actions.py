@@ -28,7 +28,7 @@ def test_a_taken_target_is_skipped(spark, tmp_path):
     for n in ("a.x", "b.x", "c.x 1"):
         (tmp_path / n).write_text(n)
     out = actions.rename_all(spark, str(tmp_path), pairs(spark, [("a.x", "b.x"), ("c.x 1", "a.x")]))
-    assert out.skipped == [("a.x", "b.x")] or out.done == [("c.x 1", "a.x")]
+    assert ("a.x", "b.x") in out.skipped and len(out.skipped) + len(out.done) == 2
     assert sorted(names(tmp_path).values()) == ["a.x", "b.x", "c.x 1"]
     assert names(tmp_path)["b.x"] == "b.x"
 
