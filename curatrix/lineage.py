@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
@@ -25,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame, what: str = "step") -> DataFrame:
@@ -37,3 +40,17 @@ def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder; how many paths that were.
+
+    For when results have been written: DataFrames that read such tables can't be used afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    n = len(_made)
+    _made.clear()
+    return n

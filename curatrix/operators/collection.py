@@ -48,7 +48,8 @@ def _groups(entries: DataFrame, key: str, kind: int) -> DataFrame:
     heads = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path_key").alias("paths"), F.min("id").alias("first"), F.min(_best()).alias("best"))
     good = (F.col("n") > 1) & (F.lit(kind == 1) | (F.col("paths") > 1))
     heads = heads.where(good).select(key, F.lit(kind).alias("pass"), "first", F.col("best.id").alias("keeper"))
-    return entries.join(heads, key)
+    # As a table, so that the join shuffles two inputs and a hot group is split.
+    return entries.join(materialize(heads, "heads"), key)
 
 
 def duplicates(entries: DataFrame) -> DataFrame:

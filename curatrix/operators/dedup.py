@@ -74,7 +74,8 @@ def _grouped(files: DataFrame, keys: list[str], kind: int, g1: Column) -> DataFr
     order = keeper_order(F.col("ext"), F.col("dur"), F.col("size"), F.col("ord"))
     heads = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("g2"), F.min(order).alias("best")).where("n > 1")
     heads = heads.select(*keys, F.lit(kind).alias("pass"), g1.alias("g1"), "g2", F.col("best.ord").alias("keeper"))
-    return files.join(heads, keys)
+    # As a table, so that the join shuffles two inputs and a hot group is split.
+    return files.join(materialize(heads, "heads"), keys)
 
 
 def exact_groups(files: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
+from curatrix.lineage import materialize
+from curatrix.operators.ranking import number_rows
+
+#: Rows of one target that a window may hold.
+HOT_NAMES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -53,14 +58,24 @@ def build_names(rows: DataFrame, options: Options = Options()) -> DataFrame:  #
 def add_suffixes(plan: DataFrame) -> DataFrame:
     """Of rows with one target, case aside, the n-th by ``old`` gets `` (n)``, n from 2.
 
-    A suffixed name isn't checked again.
+    A suffixed name isn't checked again. A target of more than HOT_NAMES rows is numbered in ranges of
+    ``old`` by many tasks; the others' windows are small.
     """
+    rows = materialize(plan.withColumn("__key", F.lower("new")).withColumn("__at", F.monotonically_increasing_id()), "plan")
+    hot = materialize(rows.where("new <> ''").groupBy("__key").count().where(F.col("count") > HOT_NAMES).select("__key"), "hot")
     # Names left to a person form no group: their window's second key keeps them apart.
-    window = Window.partitionBy(F.lower("new"), F.when(F.col("new") == "", F.col("old"))).orderBy("old")
-    numbered = plan.withColumn("__n", F.row_number().over(window))
+    window = Window.partitionBy("__key", F.when(F.col("new") == "", F.col("old"))).orderBy("old")
+    if hot.limit(1).count() == 0:
+        numbered = rows.withColumn("__n", F.row_number().over(window))
+    else:
+        few = rows.join(hot, "__key", "left_anti").withColumn("__n", F.row_number().over(window))
+        many = materialize(number_rows(rows.join(hot, "__key", "left_semi"), ["__key", "old", "__at"], "__number"), "hot")
+        first = materialize(many.groupBy("__key").agg(F.min("__number").alias("__first")), "hot")
+        many = many.join(first, "__key").withColumn("__n", F.col("__number") - F.col("__first") + 1)
+        numbered = few.unionByName(many.select(*few.columns))
     root, ext = t.splitext(F.col("new"))
     again = (F.col("new") != "") & (F.col("__n") > 1)
-    return numbered.withColumn("new", F.when(again, F.concat(root, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext)).otherwise(F.col("new"))).drop("__n")
+    return numbered.withColumn("new", F.when(again, F.concat(root, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext)).otherwise(F.col("new"))).select(*plan.columns)
 
 
 def plan_names(files: DataFrame, tags: DataFrame | None = None, options: Options = Options()) -> DataFrame:  # noqa: B008
