@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curatrix.llm.common import kth_largest, materialize
 from curatrix.llm.words import blocks, span_hashes, text_buffers
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
@@ -375,7 +376,8 @@ def frequent_words(df: DataFrame, text: str, words: int) -> list[bytes]:
     """The most frequent words, sorted as bytes, by counts over all texts.
 
     A block sends the words that make up RARE_SHARE of it; a word that common overall is sent by
-    some block, and no count is short by more than that share. The driver gets ``words`` at most.
+    some block, and no count is short by more than that share. The driver gets ``words`` at most: of
+    words that tie for the last place, none.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,8 +390,10 @@ def frequent_words(df: DataFrame, text: str, words: int) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array([data[starts[i] : ends[i]].tobytes() for i in one[often].tolist()], pa.binary()), pa.array(n[often])], names=["word", "n"])
 
     sent = df.select(text).mapInArrow(count, "word binary, n long")
-    top = sent.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(words)
-    return sorted(bytes(r.word) for r in top.collect())
+    counted = materialize(sent.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= 64), "counts")
+    least = kth_largest(counted.select(F.col("n").alias("key")), words + 1)
+    top = counted if least is None else counted.where(F.col("n") > least)
+    return sorted(bytes(r.word) for r in top.select("word").collect())
 
 
 def build_model(df: DataFrame, text: str, tokenizer_path: str, words: int = LEXICON_WORDS) -> str:

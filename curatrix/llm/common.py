@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from curatrix.lineage import materialize, shared_path
 
-__all__ = ["materialize", "shared_path", "small_batches", "table", "text_or_empty"]
+__all__ = ["kth_largest", "materialize", "shared_path", "small_batches", "some_by_hash", "table", "text_or_empty"]
+
+_BINS = 4096
 
 #: Bytes of an Arrow batch between Spark and Python. Both hold a few at a time, beside the heap.
 BATCH_BYTES = 8 << 20
@@ -33,3 +35,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def kth_largest(keys: DataFrame, k: int) -> int | None:
+    """The k-th largest of the long column ``key``, or None where there are fewer rows.
+
+    Keys are counted in ranges of equal width, then in the one that holds it, and so on: the driver
+    gets 4096 numbers at a time at most, and no task sorts.
+    """
+    low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+    if k <= 0 or n < k:
+        return None if k > 0 else (high or 0) + 1
+    while low < high:
+        width = -(-(high - low + 1) // _BINS)
+        inside = keys.where(F.col("key").between(low, high)).groupBy(F.expr(f"(key - ({low}L)) div {width}L").alias("bin")).count()
+        for r in sorted(inside.collect(), key=lambda r: -r["bin"]):
+            if k <= r["count"]:
+                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width - 1)
+                break
+            k -= r["count"]
+    return low
+
+
+def some_by_hash(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows whose column has the ``most`` largest hashes; all, if they are fewer.
+
+    ``df`` is computed once. A sort with a limit would send as many rows from every partition.
+    """
+    held = materialize(df, "chosen")
+    key = F.shiftright(F.xxhash64(column), 2)
+    at = kth_largest(held.select(key.alias("key")), most)
+    return held if at is None else held.where(key >= at)
