@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import materialize
+from curatrix.llm.common import kth_largest, materialize, some_by_hash
 from curatrix.llm.words import Words, blocks, span_hashes
 
 BUCKETS = 1 << 15  # of each stream
 MAX_LABELLED = 50_000
 #: Keys are compared in steps of 2**-20.
-_STEPS, _BINS = 1 << 20, 4096
+_STEPS = 1 << 20
 _SIGN = np.arange(256, dtype=np.uint8)
 _SIGN[ord("A") : ord("Z") + 1] = ord("A")
 _SIGN[ord("a") : ord("z") + 1] = ord("a")
@@ -77,11 +77,11 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, id_column: str, label: str, most: int, keep: Column | None = None) -> DataFrame:
-    """``id``, ``good``: at most ``most`` labelled ids, by a hash of the id; fit to be broadcast."""
+    """``id``, ``good``: ``most`` labelled ids, by a hash of the id; fit to be broadcast."""
     rows = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
     rows = rows if keep is None else rows.where(keep)
     each = rows.groupBy(F.col(id_column).alias("id")).agg(F.min(label).alias("good"))
-    return each.orderBy(F.xxhash64("id"), "id").limit(most)
+    return some_by_hash(each, "id", most)
 
 
 def train(df: DataFrame, text: str, id_column: str, sample: DataFrame) -> tuple[np.ndarray, float]:
@@ -135,22 +135,6 @@ def gumbel(id_column: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(keys: DataFrame, k: int) -> int | None:
-    """The k-th largest of the long column ``key``, or None where there are fewer rows."""
-    low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
-    if k <= 0 or n < k:
-        return None if k > 0 else (high or 0) + 1
-    while low < high:
-        width = -(-(high - low + 1) // _BINS)
-        inside = keys.where(F.col("key").between(low, high)).groupBy(F.floor((F.col("key") - low) / width).alias("bin")).count()
-        for r in sorted(inside.collect(), key=lambda r: -r["bin"]):
-            if k <= r["count"]:
-                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width - 1)
-                break
-            k -= r["count"]
-    return low
-
-
 def resample(df: DataFrame, text: str, id_column: str, labels: DataFrame, label: str = "quality", k: int | None = None, seed: int = 29, most: int = MAX_LABELLED, carry: list[str] | None = None) -> DataFrame:
     """``df`` with ``log_ratio``, ``key`` (double) and ``selected`` (boolean), read from a table.
 

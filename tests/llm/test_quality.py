@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from curatrix.llm import quality
+from curatrix.llm import common, quality
 
 
 def corpus(spark, n=400):
@@ -61,9 +61,16 @@ def test_log_ratio_by_brute_force(spark):
 
 def test_kth_largest(spark):
     keys = spark.createDataFrame([(x,) for x in [5, 5, 5, -7, 10**12, 0, None]], "key long")
-    assert [quality.kth_largest(keys, k) for k in (1, 2, 4, 5, 6)] == [10**12, 5, 5, 0, -7]
-    assert quality.kth_largest(keys, 7) is None
-    assert quality.kth_largest(keys, 0) == 10**12 + 1
+    assert [common.kth_largest(keys, k) for k in (1, 2, 4, 5, 6)] == [10**12, 5, 5, 0, -7]
+    assert common.kth_largest(keys, 7) is None
+    assert common.kth_largest(keys, 0) == 10**12 + 1
+
+
+def test_some_by_hash(spark):
+    df = spark.range(1000)
+    assert common.some_by_hash(df, "id", 137).count() == 137
+    assert common.some_by_hash(df, "id", 2000).count() == 1000
+    assert sorted(common.some_by_hash(df, "id", 9).collect()) == sorted(common.some_by_hash(df.repartition(7), "id", 9).collect())
 
 
 def test_odd_rows(spark, odd_docs):
