@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curatrix.llm.common import materialize, some_by_hash
 from curatrix.llm.words import Words, blocks, span_hashes
 
 WINDOW, BUCKETS, DIMENSIONS = 40, 1 << 17, 4
@@ -186,8 +187,8 @@ def training_windows(df: DataFrame, text: str, id_column: str, labels: DataFrame
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).where(keep)
     each = known.groupBy(F.col(id_column).alias("__id")).agg(F.max(label).alias("__label"))
-    by_hash = [F.xxhash64("__id"), F.col("__id")]
-    chosen = each.where("__label = 1").orderBy(*by_hash).limit(most).unionAll(each.where("__label = 0").orderBy(*by_hash).limit(most))
+    each = materialize(each, "labels")
+    chosen = some_by_hash(each.where("__label = 1"), "__id", most).unionAll(some_by_hash(each.where("__label = 0"), "__id", most))
     rows = df.select(id_column, text).join(F.broadcast(chosen), F.col(id_column) == F.col("__id")).select("__id", "__label", text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,7 @@ def training_windows(df: DataFrame, text: str, id_column: str, labels: DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())], names=["key", "window", "toxic", "text"])
 
     # Rows that repeat an id are one training text: the same window of it comes once.
-    found = rows.mapInArrow(cut, "key long, window long, toxic long, text string").dropDuplicates(["key", "window"]).limit(2 * most * windows).toPandas()
+    found = rows.mapInArrow(cut, "key long, window long, toxic long, text string").dropDuplicates(["key", "window"]).toPandas()
     found = found.sort_values(["key", "window"])
     clean, toxic = (each.where(f"__label = {x}").count() for x in (0, 1))
     weight = (clean / max(1, min(clean, most))) / (toxic / max(1, min(toxic, most))) if clean and toxic else 1.0
