@@ -46,7 +46,9 @@ def decide(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     light = rows.select("page_id", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= MIN_REVISIT)
     last = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull())
-    revisits = light.join(last.select("digest", "refers_to"), "digest").where(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+    # As a table, so that the join shuffles two inputs and a digest that many pages share is split.
+    last = materialize(last.select("digest", "refers_to"), "digests")
+    revisits = light.join(last, "digest").where(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
     a, b = rows.alias("a"), revisits.alias("b")
     return a.join(b, F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.digest") == F.col("b.digest")), "left").select("a.*", "b.refers_to")
 
