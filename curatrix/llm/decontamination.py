@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-A first pass counts how often every n-gram of the test items occurs in all texts. In each item, each
-run of SPREAD neighbouring n-grams makes its rarest one a seed. So frequent n-grams find nothing where
-rarer ones stand beside them, yet every intact run of SEED + SPREAD - 1 words of an item holds a seed,
-however often the item itself was copied: there is no cut-off that could drop a passage. A second pass
-looks the seeds up in all texts; hits on one item near one diagonal make a window, and the item is
-aligned with the words of the window: 1 for an equal word, -1 for another, -1 for a gap. The score is
-the best local alignment's part of the item's own score; a text is contaminated from MIN_SCORE.
+A first pass counts how often every n-gram of the test items occurs in all texts; each that occurs is a
+seed, frequent ones too, for an edited copy may hold no others: an edit breaks just the n-grams that are
+rare. So any SEED words in a row that a copy left intact hold a seed, however often the item itself was
+copied: there is no cut-off that could drop a passage. A second pass looks the seeds up in all texts;
+hits on one item near one diagonal make a window, and the item is aligned with the words of the window:
+1 for an equal word, -1 for another, -1 for a gap. The score is the best local alignment's part of the
+item's own score; a text is contaminated from MIN_SCORE. Windows that hold too few of the item's words
+for that score are not aligned. Hits are taken up about _HITS at a time, whole texts together.
 
 Both passes are maps over the texts. Test items are broadcast in blocks of about ITEM_BYTES, one pass
 over the texts for each block, so a test set of any size works.
@@ -28,9 +29,10 @@ from pyspark.sql import types as T
 
 from curatrix.llm.words import Words, blocks
 
-SEED, SPREAD, MIN_SCORE = 3, 4, 0.3
+SEED, MIN_SCORE = 3, 0.3
 ITEM_BYTES = 8 << 20
 _CELLS = 1 << 20
+_HITS = 1 << 18
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -53,23 +55,34 @@ class Items:
     def words(self, item: int) -> np.ndarray:
         return self.hashes[self.ptr[item] : self.ptr[item + 1]]
 
+    def shared(self, which: np.ndarray, h: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """How many words of each item the window ``h[begin:stop]`` holds: no alignment scores more."""
+        # Per word, its places in the texts in order: a window holds it if one lies inside.
+        known = np.unique(self.hashes)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        here = np.flatnonzero(known[at] == h)
+        here = here[np.argsort(at[here], kind="stable")]
+        key = at[here] * (len(h) + 1) + here
+        word = np.searchsorted(known, self.hashes)
+        out, size = np.zeros(len(which), np.int64), (self.ptr[1:] - self.ptr[:-1])[which]
+        low = 0
+        while low < len(which):
+            high = max(low + 1, int(np.searchsorted(np.cumsum(size[low:]), _CELLS, "right")) + low)
+            n = size[low:high]
+            pair = np.repeat(np.arange(low, high), n)
+            base = word[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.ptr[which[low:high]], n)] * (len(h) + 1)
+            inside = np.searchsorted(key, base + begin[pair]) < np.searchsorted(key, base + stop[pair])
+            out[low:high] = np.bincount(pair[inside] - low, minlength=high - low)
+            low = high
+        return out
+
     def keys(self) -> dict[int, np.ndarray]:
         """The distinct n-grams of each n, in order."""
         return {n: np.unique(self.hash[self.n == n]) for n in range(1, SEED + 1) if (self.n == n).any()}
 
     def seeds(self, often: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each n: seeds in order, with item and place. ``often`` counts n-grams in the texts."""
-        count = np.array([often.get((n, h), 0) for n, h in zip(self.n.tolist(), self.hash.tolist(), strict=True)], np.int64)
-        rank = np.empty(len(count), np.int64)
-        rank[np.lexsort((self.place, self.hash, count))] = np.arange(len(count))
-        seed = np.zeros(len(count), bool)
-        order = np.lexsort((self.place, self.item))
-        begin = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        for low, high in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            if low < high:
-                own = order[low:high]
-                runs = np.lib.stride_tricks.sliding_window_view(rank[own], min(SPREAD, high - low))
-                seed[own[np.arange(len(runs)) + runs.argmin(1)]] = True
+        seed = np.array([(n, h) in often for n, h in zip(self.n.tolist(), self.hash.tolist(), strict=True)], bool)
         out = {}
         for n in range(1, SEED + 1):
             mine = np.flatnonzero(seed & (self.n == n))
@@ -133,23 +146,37 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
 
 def find(items: Items, seeds: dict, words: Words, min_score: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, end) of what is contaminated: the best place for each pair."""
-    docs, which, shift = [], [], []
+    hits, load = [], np.zeros(len(words.ptr) - 1, np.int64)
     for n, (keys, item, place) in seeds.items():
         h, at, ptr = words.ngrams(n, short=False)
         low = np.searchsorted(keys, h, "left")
         hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h)
-        if not len(hit):
-            continue
         low = low[hit]
         many = np.searchsorted(keys, h[hit], "right") - low
-        entry = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
         doc = np.searchsorted(ptr, hit, "right") - 1
+        np.add.at(load, doc, many)
+        hits.append((doc, at[hit] - words.ptr[doc], low, many, item, place))
+    out, total, begin = [], np.cumsum(load), 0
+    while begin < len(load) and total[-1] > (total[begin - 1] if begin else 0):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + _HITS, "right")))
+        out += _find_in(items, hits, begin, end, words, min_score)
+        begin = end
+    return out
+
+
+def _find_in(items: Items, hits: list, low_doc: int, high_doc: int, words: Words, min_score: float) -> list[tuple[int, int, float, int, int]]:
+    """What ``find`` gives, for the texts from ``low_doc`` to before ``high_doc``."""
+    docs, which, shift = [], [], []
+    for doc, at, low, many, item, place in hits:
+        a, b = np.searchsorted(doc, [low_doc, high_doc])
+        doc, at, low, many = doc[a:b], at[a:b], low[a:b], many[a:b]
+        entry = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
         docs.append(np.repeat(doc, many))
         which.append(item[entry])
-        shift.append(np.repeat(at[hit] - words.ptr[doc], many) - place[entry])
-    if not docs:
-        return []
+        shift.append(np.repeat(at, many) - place[entry])
     docs, which, shift = (np.concatenate(x) for x in (docs, which, shift))
+    if not len(docs):
+        return []
     order = np.lexsort((shift, which, docs))
     docs, which, shift = docs[order], which[order], shift[order]
     size = (items.ptr[1:] - items.ptr[:-1])[which]
@@ -160,15 +187,19 @@ def find(items: Items, seeds: dict, words: Words, min_score: float) -> list[tupl
     slack = size[first] // 2 + 2
     begin = np.maximum(shift[first] - slack, 0) + words.ptr[docs[first]]
     stop = np.minimum(shift[last] + size[first] + slack + words.ptr[docs[first]], words.ptr[docs[first] + 1])
+    docs, which, size = docs[first], which[first], size[first]
+    a, b = words.ptr[low_doc], words.ptr[high_doc]
+    able = items.shared(which, words.hashes[a:b], begin - a, stop - a) >= min_score * size - 1e-6
+    docs, which, size, begin, stop = docs[able], which[able], size[able], begin[able], stop[able]
     h = words.hashes
-    q, w = [items.words(i) for i in which[first].tolist()], [h[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+    q, w = [items.words(i) for i in which.tolist()], [h[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
     best, end = align(q, w)
-    good = np.flatnonzero(best >= min_score * size[first] - 1e-6)
+    good = np.flatnonzero(best >= min_score * size - 1e-6)
     # The alignment read backwards from its end gives its beginning.
     _, back = align([q[i][::-1] for i in good], [w[i][: end[i] + 1][::-1] for i in good])
     out: dict[tuple[int, int], tuple] = {}
     for k, i in enumerate(good.tolist()):
-        doc, item, score = int(docs[first[i]]), int(which[first[i]]), float(best[i] / size[first[i]])
+        doc, item, score = int(docs[i]), int(which[i]), float(best[i] / size[i])
         stopped = int(begin[i] + end[i] + 1 - words.ptr[doc])
         found = (doc, item, score, stopped - 1 - int(back[k]), stopped)
         if (doc, item) not in out or score > out[doc, item][2]:

@@ -77,3 +77,37 @@ def test_odd_rows(spark, odd_docs):
     none = odd_docs.where(F.lit(False))
     assert d.scan(none, "text", tests, "item_id", "text").count() == 0
     assert d.scan(odd_docs, "text", tests.where(F.lit(False)), "item_id", "text").where("size(leaks) > 0").count() == 0
+
+
+def test_items_that_stand_only_as_edited_copies_are_found(spark):
+    rng = random.Random(4)
+    make = lambda n, of: [f"{of}{rng.randrange(3000)}" for _ in range(n)]
+    items, docs, want = [], [], set()
+    for k in range(60):
+        item = make(rng.randint(24, 48), "w")
+        every, part = (4, 5, 6, 0, 0)[k % 5], (0, 0, 0, 0.2, 0.25)[k % 5]
+        copy = [f"e{rng.randrange(3000)}" if (every and i % every == every - 1) or rng.random() < part else w for i, w in enumerate(item)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(make(50, "x") + copy + make(50, "x"))))
+        if any(all(a == b for a, b in zip(item[i : i + d.SEED], copy[i : i + d.SEED])) for i in range(len(item) - d.SEED + 1)) and smith_waterman(item, copy) >= d.MIN_SCORE * len(item):
+            want.add((k, k))
+    assert len(want) >= 58
+    docs += [(100 + i, " ".join(make(150, "x"))) for i in range(20)]
+    tests, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = d.scan(df, "text", tests, "item_id", "text").select("doc_id", F.explode("leaks.item_id").alias("item")).collect()
+    assert {(r.doc_id, r.item) for r in found} == want
+
+
+def test_no_window_that_reaches_the_score_is_left_out(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 6, n))
+    items = d.Items(list(range(30)), [text(rng.integers(4, 25)) for _ in range(30)])
+    seeds = items.seeds({(n, int(h)): 1 for n, k in items.keys().items() for h in k})
+    words = d.Words(d.pa.array([text(n) for n in rng.integers(0, 80, 40)]))
+    for min_score in (0.3, 0.7, 0.9):
+        found = d.find(items, seeds, words, min_score)
+        monkeypatch.setattr(d, "_HITS", 50)
+        assert sorted(d.find(items, seeds, words, min_score)) == sorted(found) != []
+        monkeypatch.setattr(d.Items, "shared", lambda self, which, *_: np.full(len(which), 10**6))
+        assert sorted(d.find(items, seeds, words, min_score)) == sorted(found)
+        monkeypatch.undo()
