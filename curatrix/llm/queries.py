@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from curatrix.llm import decontamination, hmm, neardup, quality, secrets, toxicity, warc
 from curatrix.llm.bpe import encode_decode
-from curatrix.llm.common import table, text_or_empty
+from curatrix.llm.common import materialize, table, text_or_empty
 from curatrix.llm.sharding import shuffle_into_shards
 from curatrix.llm.topk import top_k
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    text = text_or_empty(docs)
-    light = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffle_into_shards(light, 16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # Written and read again, so that all columns are exchanged, not only those that the digests need.
+    out = materialize(shuffle_into_shards(table(spark, sf_dir, "documents"), 16), "sharded")
+    text = text_or_empty(out)
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

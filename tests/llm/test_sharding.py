@@ -1,9 +1,11 @@
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from curatrix.llm import sharding
+from curatrix.llm import queries, sharding
 
 
 @pytest.mark.parametrize("rows, shards", [(1000, 16), (5, 16), (0, 4), (100, 1)])
@@ -50,3 +52,18 @@ def test_large_counts():
     rng = np.random.default_rng(1)
     draws = np.array([sharding.hypergeometric(rng, 3 * 10**9, 10**9, 10**6) for _ in range(300)])
     assert abs(draws.mean() - 750_000) < 150 and 300 < draws.std() < 600
+
+
+def test_query_deals_whole_documents_and_digests_what_comes_out(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    passed = []
+
+    def shuffle(df, shards):
+        passed.append(df.columns)
+        return sharding.shuffle_into_shards(df, shards).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!")))
+
+    monkeypatch.setattr(queries, "shuffle_into_shards", shuffle)
+    out = queries.op1_sharding(spark, sf_dir).collect()
+    assert passed == [docs.columns]
+    texts = [((r.text or "") + "!").encode() for r in docs.collect()]
+    assert sorted((r["size"], r.text_crc32) for r in out) == sorted((len(t) + 1, zlib.crc32(t)) for t in texts)
