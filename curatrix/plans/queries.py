@@ -420,9 +420,10 @@ def q33_status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.tally(src.names(spark, sf_dir).select(codec.predicted_status(F.col("name")).alias("status")))
 
 
-def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small files made from texts: WAV, AIFF and MP3 in turn."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("s")).where("s <> ''")
+def _media(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
+    """Files made from texts, whole or their first ``chars`` characters: WAV, AIFF and MP3 in turn."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("s")).where("s <> ''")
     body = F.concat(F.col("s").cast("binary"), F.when(F.octet_length("s") % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
     size = F.octet_length("s")
     big = F.unhex(F.lpad(F.hex(size), 8, "0"))
@@ -440,8 +441,9 @@ def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'data' ELSE 'SSND' END AS id, 12::BIGINT AS pos, strlen(substr(text, 1, 40))::BIGINT AS size FROM documents WHERE doc_id % 3 < 2 AND strlen(substr(text, 1, 40)) > 0")
 def q35_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.udtf.register("chunk_table", codec.ChunkTable)
-    _media(spark, sf_dir).createOrReplaceTempView("media_files")
-    return spark.sql("SELECT doc_id, c.id, c.pos, c.size FROM media_files, LATERAL chunk_table(content) c WHERE doc_id % 3 < 2")
+    # The sizes in its SQL are those of 40 characters.
+    _media(spark, sf_dir, 40).createOrReplaceTempView("media_files")
+    return spark.sql("SELECT doc_id, c.id, c.pos, c.size FROM media_files, LATERAL chunk_table(content) c")
 
 
 @query("SELECT '/m/Artist ' || doc_id % 9 || ' - Song ' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.wav' WHEN 1 THEN '.aif' ELSE '.mp3' END AS path, 'ok' AS status, 'Artist ' || doc_id % 9 AS artist, 'Song ' || doc_id AS title FROM documents WHERE strlen(substr(text, 1, 40)) > 0")

@@ -3,6 +3,7 @@ import struct
 import pytest
 
 from curatrix.operators import codec
+from curatrix.plans import queries
 
 
 def riff(*parts, magic=b"RIFF", kind=b"WAVE", order="<"):
@@ -71,3 +72,19 @@ def test_errors_and_statuses(spark):
     assert got["/x/B - T.wav"].error and got["/x/A - T.wav"].error is None
     tags = spark.createDataFrame([(bytes(got["/x/A - T.wav"].content),), (None,), (b"junk",)], "content binary").select(codec.tags_of("content").alias("t")).select("t.*")
     assert [tuple(r) for r in tags.collect()] == [("A", "T"), (None, None), (None, None)]
+
+
+def test_queries_pass_whole_texts_and_all_files(spark, sf_dir, tmp_path, monkeypatch):
+    texts = {i: t for i, t in enumerate(["a", "é" * 33, "x" * 41, "word " * 200_000, "é" * 70_001, "z" * 300_000, ""])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], codec.tag_files
+    monkeypatch.setattr(codec, "tag_files", lambda files: seen.append(files) or real(files))
+    tagged = queries.q36_tag_roundtrip(spark, str(tmp_path)).collect()
+    assert {(r.status, r.artist, r.title) for r in tagged} == {("ok", f"Artist {i}", f"Song {i}") for i in range(6)}
+    files = {r.doc_id: bytes(r.content) for r in seen[0].collect()}
+    assert sorted(files) == list(range(6)) and all(texts[i].encode() in data for i, data in files.items())
+    spark.udtf.register("chunk_table", codec.ChunkTable)
+    seen[0].createOrReplaceTempView("whole_files")
+    sizes = {r.doc_id: (r.id, r.size) for r in spark.sql("SELECT doc_id, c.* FROM whole_files, LATERAL chunk_table(content) c").collect()}
+    assert sizes == {i: ("SSND" if i % 3 else "data", len(texts[i].encode())) for i in (0, 1, 3, 4)}
+    assert {r.doc_id for r in queries.q35_chunk_table(spark, str(tmp_path)).collect()} == {0, 1, 3, 4}
