@@ -7,9 +7,9 @@ softmax over it gives the probability of toxicity. The text's score is that of i
 a long text doesn't dilute what is in one place. Vectors and softmax are trained jointly, in numpy,
 on windows of labelled texts under their text's label.
 
-Training takes MAX_TRAIN texts of each label at most, chosen by a hash of their id, and of each the
-MAX_WINDOWS windows that come first by a hash; their text goes to the driver, at most about
-2 * MAX_TRAIN * MAX_WINDOWS * 500 bytes. Scores cover all texts, whole.
+Training takes MAX_TRAIN texts of each label at most, chosen by a hash of their id, and all windows of
+each; their text goes to the driver, so memory there grows with the length of the 2 * MAX_TRAIN texts.
+Scores cover all texts, whole.
 
 Defined cases: a null or empty text is one window without words and gets the score of the softmax's
 bias; a text with several labels is toxic if any is; ids, languages and sources are no input. Without
@@ -31,7 +31,7 @@ from curatrix.llm.common import materialize, some_by_hash
 from curatrix.llm.words import Words, blocks, span_hashes
 
 WINDOW, BUCKETS, DIMENSIONS = 40, 1 << 17, 4
-MAX_TRAIN, MAX_WINDOWS = 3000, 6
+MAX_TRAIN = 3000
 LEAST = 20  # a window of fewer distinct words counts as so many
 STEPS, DECAY, SHRINK, GAIN = 25, 2.5e-6, 100.0, 20.0
 #: A clean text is clean in each of its windows, and is judged by the worst: they weigh so much more.
@@ -59,16 +59,17 @@ def subwords(words: Words, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(len(data), bool)
     inside[first] = inside[stop - 1] = False
     data[inside] = words.data[np.arange(lengths.sum()) + np.repeat(words.starts[one] - (np.cumsum(lengths) - lengths), lengths)]
-    hashes, of = [span_hashes(data, first, stop)], [np.arange(len(one))]
+    buckets, of = [(span_hashes(data, first, stop) % np.uint64(BUCKETS)).astype(np.int32)], [np.arange(len(one), dtype=np.int32)]
     for n in (3, 4, 5):
         many = np.maximum(lengths + 2 - n + 1, 0)
         before = np.cumsum(many) - many
         at = np.arange(many.sum()) + np.repeat(first - before, many)
-        hashes.append(span_hashes(data, at, at + n))
-        of.append(np.repeat(np.arange(len(one)), many))
-    of_all, bucket = np.concatenate(of), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
+        buckets.append((span_hashes(data, at, at + n) % np.uint64(BUCKETS)).astype(np.int32))
+        of.append(np.repeat(np.arange(len(one), dtype=np.int32), many))
+    of_all = np.concatenate(of)
+    del of, at
     order = np.argsort(of_all, kind="stable")
-    return bucket[order], np.searchsorted(of_all[order], np.arange(len(one) + 1))
+    return np.concatenate(buckets)[order], np.concatenate([[0], np.cumsum(np.bincount(of_all, minlength=len(one)))])
 
 
 def bags(words: Words, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +118,7 @@ def fit(texts: list[str], labels: np.ndarray, groups: np.ndarray, clean_weight:
     words = Words(pa.array(texts, pa.string()))
     one, window, kind = bags(words, words.docs)
     bucket, ptr = subwords(words, one)
+    del words
     per_word = np.diff(ptr)
     of_word = np.repeat(np.arange(len(one)), per_word)
     gain = GAIN / np.maximum(np.bincount(window, minlength=len(texts)), LEAST)
@@ -181,7 +183,7 @@ def score_block(model: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(logit, first[:-1]), -50, 50)))
 
 
-def training_windows(df: DataFrame, text: str, id_column: str, labels: DataFrame, label: str, keep: Column, most: int = MAX_TRAIN, windows: int = MAX_WINDOWS) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+def training_windows(df: DataFrame, text: str, id_column: str, labels: DataFrame, label: str, keep: Column, most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """What ``fit`` takes: windows of the labelled texts that ``keep`` (on the id) lets in, labels,
     texts, and the weight of clean ones that makes up for what the sample left out.
     """
@@ -199,10 +201,7 @@ def training_windows(df: DataFrame, text: str, id_column: str, labels: DataFrame
             out: list[tuple] = []
             for d in range(block.num_rows):
                 key, toxic = block.column(0)[d].as_py(), block.column(1)[d].as_py()
-                which = np.arange(first[d], first[d + 1])
-                if len(which) > windows:
-                    which = np.random.default_rng([3, key & (1 << 63) - 1]).choice(which, windows, replace=False)
-                for w in which.tolist():
+                for w in range(int(first[d]), int(first[d + 1])):
                     out.append((key, w - int(first[d]), int(toxic), b" ".join(words.word(i)[:_LONGEST_WORD] for i in range(begin[w], begin[w + 1])).decode("utf-8", "ignore")))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())], names=["key", "window", "toxic", "text"])
 

@@ -76,3 +76,11 @@ def test_odd_rows(spark, odd_docs):
     for some in (labels.where("toxic = 1"), labels.where(F.lit(False))):
         model = toxicity.fit(*toxicity.training_windows(odd_docs, "text", "doc_id", some, "toxic", F.lit(True)))
         assert np.isfinite(toxicity.score_block(model, pa.array(["x", None]))).all()
+
+
+def test_all_windows_of_a_long_text_train(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(2000))), (2, "b c"), (3, " ".join(f"v{i}" for i in range(400)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    texts, toxic, keys, _ = toxicity.training_windows(docs, "text", "doc_id", labels, "toxic", F.lit(True))
+    assert keys.tolist() == [1] * 50 + [2] + [3] * 10 and toxic.tolist() == [1] * 50 + [0] * 11
+    assert " ".join(texts[:50]).split() == [f"w{i}" for i in range(2000)]
