@@ -36,8 +36,6 @@ LEAST = 20  # a window of fewer distinct words counts as so many
 STEPS, DECAY, SHRINK, GAIN = 25, 2.5e-6, 100.0, 20.0
 #: A clean text is clean in each of its windows, and is judged by the worst: they weigh so much more.
 CLEAN_WEIGHT = 5.0
-#: A training window's text is cut out of words of this many bytes at most.
-_LONGEST_WORD = 64
 
 
 def windows_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +200,7 @@ def training_windows(df: DataFrame, text: str, id_column: str, labels: DataFrame
             for d in range(block.num_rows):
                 key, toxic = block.column(0)[d].as_py(), block.column(1)[d].as_py()
                 for w in range(int(first[d]), int(first[d + 1])):
-                    out.append((key, w - int(first[d]), int(toxic), b" ".join(words.word(i)[:_LONGEST_WORD] for i in range(begin[w], begin[w + 1])).decode("utf-8", "ignore")))
+                    out.append((key, w - int(first[d]), int(toxic), b" ".join(words.word(i) for i in range(begin[w], begin[w + 1])).decode()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())], names=["key", "window", "toxic", "text"])
 
     # Rows that repeat an id are one training text: the same window of it comes once.

@@ -84,3 +84,9 @@ def test_all_windows_of_a_long_text_train(spark):
     texts, toxic, keys, _ = toxicity.training_windows(docs, "text", "doc_id", labels, "toxic", F.lit(True))
     assert keys.tolist() == [1] * 50 + [2] + [3] * 10 and toxic.tolist() == [1] * 50 + [0] * 11
     assert " ".join(texts[:50]).split() == [f"w{i}" for i in range(2000)]
+
+
+def test_words_train_whole(spark):
+    word = "字" * 300 + "end"
+    docs, labels = spark.createDataFrame([(1, f"a {word}"), (2, "b")], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.training_windows(docs, "text", "doc_id", labels, "toxic", F.lit(True))[0] == [f"a {word}", "b"]
