@@ -3,16 +3,16 @@
 The words that a text falls into repeat, so the frequent ones are encoded once and compiled into an
 automaton that shares prefixes and suffixes. Its arcs carry numbers whose sum along a word's path is
 the word's place in a table of id lists. The file with automaton, table, merges and character classes
-is built on the driver, shipped by Spark to every executor and memory-mapped there, once for all
-workers. Words outside the lexicon are merged exactly, many at a time. The lexicon thus decides speed
-and never results.
+is built on the driver, put into the shared folder, fetched by Spark to every executor and memory-mapped
+there, once for all workers. Words outside the lexicon are merged exactly, many at a time. The lexicon
+thus decides speed and never results.
 
 Work goes block by block of texts in numpy: characters to classes, classes to word spans, spans to
 distinct words, those through the automaton or the merges, and back to id sequences.
 
 Defined cases: a null text is an empty one and has no ids; texts of any length are encoded whole; the
 special token's string in a text becomes its id. Decoding replaces bytes that are no UTF-8. Rows keep
-all their columns; ``n_tokens``, ``ids`` and ``decoded`` must not be among them.
+their other columns; ``n_tokens``, ``ids`` and ``decoded`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -20,19 +20,19 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import kth_largest, materialize
+from curatrix.llm.common import kth_largest, materialize, shared_path
 from curatrix.llm.words import blocks, span_hashes, text_buffers
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
@@ -41,6 +41,7 @@ COUNT_BYTES, ENCODE_BYTES = 1 << 22, 1 << 21
 #: Words in the lexicon at most; words rarer than this share of a block's words aren't sent for it.
 LEXICON_WORDS, RARE_SHARE = 100_000, 2e-6
 _NONE = np.iinfo(np.int32).max
+_SHORT = 64  # bytes; longer words are compared one by one
 
 
 # -- words of a text -------------------------------------------------------------------------------
@@ -293,10 +294,37 @@ def split_special(data: np.ndarray, offsets: np.ndarray, special: list) -> tuple
     return np.unique(np.concatenate([offsets, np.array(cuts, np.int64)])) if cuts else offsets, sorted(found)
 
 
+def differ(data: np.ndarray, starts: np.ndarray, size: np.ndarray, other: np.ndarray) -> bool:
+    """Whether any word is unlike the one that begins at ``other``, which is of its length."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for step in (1, 2, 4):  # the 8 bytes from each place on as one number
+        wide = wide[:-step] | wide[step:] << np.uint64(8 * step)
+    left = np.flatnonzero(size <= _SHORT)
+    for at in range(0, _SHORT, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        odd = wide[starts[left] + at] ^ wide[other[left] + at]
+        odd <<= (8 * np.maximum(at + 8 - size[left], 0)).astype(np.uint64)
+        if odd.any():
+            return True
+    rest = np.flatnonzero((size > _SHORT) & (starts != other))
+    return any(not np.array_equal(data[a : a + n], data[b : b + n]) for a, b, n in zip(starts[rest].tolist(), other[rest].tolist(), size[rest].tolist(), strict=True))
+
+
 def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of all words, one word of each kind, the kind of each word, and counts of kinds."""
+    """Ends of all words, one word of each kind, the kind of each word, and counts of kinds.
+
+    Kinds come from hashes and are held against the bytes of every word; should two words share a
+    hash, the block's kinds are told by the words themselves.
+    """
     ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
+    size = ends - starts
     _, one, kind, count = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    if len(starts) and ((size != size[one[kind]]).any() or differ(data, starts, size, starts[one[kind]])):
+        numbers: dict[bytes, int] = {}
+        kind = np.array([numbers.setdefault(data[a:b].tobytes(), len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        _, one, count = np.unique(kind, return_index=True, return_counts=True)
     return ends, one, kind, count
 
 
@@ -344,14 +372,16 @@ def decode_block(model: dict[str, np.ndarray], ids: np.ndarray, ptr: np.ndarray)
 
 
 def save(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file: a line of JSON with names, types and places, then the arrays at multiples of 64."""
+    """One file at a URI: a line of JSON with names, types and places, then the arrays at multiples of 64."""
     at, head = 0, {}
     for name, a in arrays.items():
         head[name] = [a.dtype.str, len(a), at]
         at += -(-a.nbytes // 64) * 64
     line = json.dumps(head).encode()
     line += b" " * (-(len(line) + 1) % 64) + b"\n"
-    with open(path, "wb") as f:
+    fs, where = pafs.FileSystem.from_uri(path)
+    fs.create_dir(os.path.dirname(where), recursive=True)
+    with fs.open_output_stream(where, compression=None) as f:
         f.write(line)
         for a in arrays.values():
             f.write(a.tobytes() + bytes(-a.nbytes % 64))
@@ -406,15 +436,16 @@ def build_model(df: DataFrame, text: str, tokenizer_path: str, words: int = LEXI
     ids, counts = merge_words(model, data, ptr[:-1], ptr[1:])
     model |= compile_lexicon(lexicon) | {"lexicon_ids": ids, "lexicon_ptr": np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)}
     name = f"bpe-{uuid.uuid4().hex}.model"
-    folder = tempfile.mkdtemp(prefix="bpe-")
-    save(os.path.join(folder, name), model)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    path = f"{shared_path(spark, 'lexicon')}/{name}"
+    save(path, model)
+    spark.sparkContext.addFile(path)
     return name
 
 
 def encode_decode(df: DataFrame, text: str, tokenizer_path: str, words: int = LEXICON_WORDS) -> DataFrame:
     """``df`` with ``n_tokens`` (long), ``ids`` (little-endian unsigned 32-bit) and ``decoded``."""
     model_name = build_model(df, text, tokenizer_path, words)
+    df = df.drop("n_tokens", "ids", "decoded")
     schema = T.StructType([*df.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

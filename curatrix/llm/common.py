@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.lineage import materialize, shared_path
 
-__all__ = ["kth_largest", "materialize", "shared_path", "small_batches", "some_by_hash", "table", "text_or_empty"]
+__all__ = ["kth_largest", "materialize", "shared_path", "small_batches", "some_by_hash", "spare", "table", "text_or_empty"]
 
 _BINS = 4096
 
@@ -33,6 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name`` with as many signs behind it that no column of ``df`` has it, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

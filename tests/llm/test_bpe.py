@@ -38,6 +38,29 @@ def test_same_ids_as_the_library(model, public_bpe):
     check(model, Tokenizer.from_file(public_bpe), ODD + texts)
 
 
+def test_texts_that_collide_modulo_powers_of_two(model, public_bpe):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    check(model, Tokenizer.from_file(public_bpe), texts + [t[:1024] for t in texts])
+
+
+@pytest.mark.parametrize("collide", [lambda h: h * 0, lambda h: h % np.uint64(3), lambda h: h % np.uint64(1000)])
+def test_words_that_share_a_hash_are_told_apart(model, public_bpe, monkeypatch, collide):
+    hashes = bpe.span_hashes
+    monkeypatch.setattr(bpe, "span_hashes", lambda *a: collide(hashes(*a)))
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab ", k=rng.randint(0, 300))) for _ in range(40)] + ["x" * 100 + "y" + "z" * 9, "x" * 100 + "w" + "z" * 9, "x" * 109 + "w"]
+    check(model, Tokenizer.from_file(public_bpe), texts + ODD)
+
+
+def test_words_are_held_against_their_bytes():
+    data = np.frombuffer(b"abcdefghijabcdefghXjabcdefghij" + b"q" * 80 + b"q" * 79 + b"r", np.uint8)
+    starts, size = np.array([0, 10, 20, 30, 110]), np.array([10, 10, 10, 80, 80])
+    assert not bpe.differ(data, starts[[0, 2, 3]], size[[0, 2, 3]], starts[[0, 0, 3]])
+    assert bpe.differ(data, starts[:2], size[:2], starts[[0, 0]])
+    assert bpe.differ(data, starts[3:], size[3:], starts[[3, 3]])
+
+
 def test_ids_that_are_no_text(model, public_bpe):
     ids = np.array([128, 128, 50256, 94, 127, 64])
     assert bpe.decode_block(model, ids, np.array([0, 3, 6])).to_pylist() == [Tokenizer.from_file(public_bpe).decode(x, skip_special_tokens=False) for x in ([128, 128, 50256], [94, 127, 64])]
@@ -68,3 +91,6 @@ def test_operator(odd_docs, public_bpe):
         assert np.frombuffer(r.ids, "<u4").tolist() == tokenizer.encode(r.text or "", add_special_tokens=False).ids
         assert r.n_tokens == len(r.ids) // 4 and r.decoded == (r.text or "")
     assert bpe.encode_decode(odd_docs.where(F.lit(False)), "text", public_bpe).count() == 0
+    again = bpe.encode_decode(out.select("doc_id", "text", "n_tokens", F.lit("x").alias("IDS")), "text", public_bpe, words=0)
+    assert again.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+    assert sorted((r.n_tokens, bytes(r.ids)) for r in again.collect()) == sorted((r.n_tokens, bytes(r.ids)) for r in rows)

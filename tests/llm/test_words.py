@@ -51,3 +51,26 @@ def test_overlapping_spans():
     data = np.frombuffer(b"abcabc", np.uint8)
     h = span_hashes(data, np.array([0, 1, 3]), np.array([3, 4, 6]))
     assert h[0] == h[2] != h[1]
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_texts_of_a_simple_law_do_not_collide():
+    for n in (512, 1024, 2048, 4096):
+        a, b = thue_morse(n)
+        h = Words(pa.array([a, b])).hashes
+        assert h[0] != h[1]
+
+
+def test_spans_longer_than_a_step():
+    rng = np.random.default_rng(0)
+    big = rng.integers(97, 123, 1_700_000).astype(np.uint8)
+    near = big.copy()
+    near[1_500_000] ^= 1
+    both = np.concatenate([big, near, big])
+    n = len(big)
+    h = span_hashes(both, np.array([0, 5, n, 2 * n]), np.array([n, 9, 2 * n, 3 * n]))
+    assert h[0] == h[3] != h[2] and h[1] == span_hashes(big, np.array([5]), np.array([9]))[0]
