@@ -1,22 +1,26 @@
 """A similarity join of texts on the Jaccard index of their word n-grams, by a MinHash LSH forest.
 
-Each distinct text gets TREES signatures of MAX_DEPTH MinHash values. In a tree of the forest, texts
-stand in the order of their signatures, and those that share a prefix stand together: a subtree. Two
-texts are candidates if they share a prefix of some length in any tree. The join begins with whole
-signatures and shortens the prefix until pairs at the threshold are found with the target recall,
-1 - (1 - threshold**length)**TREES; pairs above it are found with a higher one. Every candidate pair
-is verified on the n-grams of both whole texts, so no link is false.
-
-Equal texts are one class and enter once, with their number. A subtree is cut into tiles of TILE texts,
-and each pair of tiles is one task's piece of work, however large the subtree; a subtree with the same
-texts as that of an earlier tree is left out; and a pair that shares subtrees of several trees counts
-in the first. Pieces return a count of links and a root for each text, never pairs. Classes are the
-connected components of the links, found by alternating stars on tables.
+Each distinct text has a signature of LEVELS MinHash values in each of TREES trees. A tree is the prefix
+trie of its signatures, kept as a table sorted by signature: texts that share a prefix stand in a row, a
+subtree. Two texts are candidates if they share a subtree of their tree's depth in any tree. Depths
+begin at whole signatures and are shortened tree by tree, as what was found demands: neighbours in the
+sorted table that share a prefix of some length, SAMPLE_PAIRS at most for each length, are compared
+exactly, and as long as the links among them, band by band of similarity, are found by a forest of the
+depths with less than the target recall, the longest prefix is shortened by one value. A band counts
+one link at its lower edge more than were seen, so that the target also holds where none was seen.
+Every candidate pair is then verified on the n-grams of both whole texts.
+
+Equal texts are one class and enter once, with their number. A subtree is cut into tiles of about TILE
+texts and TILE_BYTES of text, and each pair of tiles is one task's piece of work, however large the
+subtree; a subtree with the same texts as that of another tree is left out; and a pair that shares
+subtrees of several trees counts in the first. Pieces return a count of links and a root for each text,
+never pairs. Classes are the connected components of the links, found by alternating stars on tables.
 
 Defined cases: words are runs between white space, lower-cased in ASCII. A text of fewer words than n
 is one n-gram; one without words, null ones among them, links with nothing but is in a class with its
-equals. Rows with a null id have no class and no links. Rows with equal ids are one document. Rows
-keep their columns; ``class_id`` and ``n_links`` must not be among them.
+equals. Rows with a null id have no class and no links. Rows with equal ids are one document. Only the
+two columns named are read, so other columns may have any name; rows that ``keep_one`` keeps have all.
+N-grams are compared by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -28,58 +32,150 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize
-from curatrix.llm.words import Words, blocks, mix
+from curatrix.llm.common import kth_largest, materialize, spare
+from curatrix.llm.words import Words, blocks
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, MAX_DEPTH, RECALL = 16, 8, 0.9995
-TILE = 256
+TREES, LEVELS, RECALL = 16, 8, 0.9995
+SAMPLE_PAIRS, BANDS = 500, 4
+TILE, TILE_BYTES = 256, 4 << 20
 #: Ids are broadcast up to this number, 16 bytes each or so; beyond it texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def forest_depth(threshold: float, trees: int = TREES, most: int = MAX_DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix that finds pairs at the threshold with the target recall."""
-    depth = most
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def signatures_of(words: Words, n: int, trees: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each text and tree, and which texts have n-grams at all.
 
-
-def prefixes(words: Words, n: int, trees: int, depth: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each tree's prefix for each text, and which texts have n-grams at all."""
+    A signature is LEVELS values of 16 bits, the first one on top, so that the order of the numbers is
+    that of the prefix trie. Each pass over the n-grams gives the two MinHash values of both halves of
+    a hash.
+    """
     grams, _, ptr = words.ngrams(n)
     full = np.flatnonzero(np.diff(ptr))
-    factors = np.random.default_rng(seed).integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros((len(full), trees), np.uint64)
+    factors = np.random.default_rng(seed).integers(1, 1 << 63, trees * LEVELS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(full), trees, 2), np.uint64)
     first = ptr[:-1][full]
-    with np.errstate(over="ignore"):
-        for t in range(trees):
-            key = np.full(len(full), t + 1, np.uint64)
-            for f in factors[t * depth : (t + 1) * depth]:
-                h = grams * f
-                h ^= h >> np.uint64(32)
-                if len(full):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, first))
-            out[:, t] = key
-    return out, full
+    for k, f in enumerate(factors if len(full) else []):
+        tree, level = divmod(2 * k, LEVELS)
+        h = grams * f
+        h ^= h >> np.uint64(29)
+        for half in ((h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)):
+            least = np.minimum.reduceat(half, first) * np.uint32(0x9E3779B1)  # a minimum is small: spread it
+            out[:, tree, level // 4] |= (least >> np.uint32(16)).astype(np.uint64) << np.uint64(48 - 16 * (level % 4))
+            level += 1
+    return out.reshape(len(full), 2 * trees), full
 
 
-def signatures(df: DataFrame, id_column: str, text: str, n: int, trees: int, depth: int) -> DataFrame:
-    """``id``, ``text_key``, ``keys``: the last is null for texts without words."""
+def signatures(df: DataFrame, id_column: str, text: str, n: int, trees: int) -> DataFrame:
+    """``id``, ``text_key``, ``size`` (bytes), ``sig``: the last is null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            keys, full = prefixes(Words(block.column(2)), n, trees, depth)
+        for block in blocks(batches, "body"):
+            sig, full = signatures_of(Words(block.column(3)), n, trees)
             there = np.zeros(block.num_rows, bool)
             there[full] = True
-            at = np.concatenate([[0], np.cumsum(there * trees)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(~there))
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), lists], names=["id", "text_key", "keys"])
+            at = np.concatenate([[0], np.cumsum(there * 2 * trees)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(sig.reshape(-1).view(np.int64)), mask=pa.array(~there))
+            yield pa.RecordBatch.from_arrays([*block.columns[:3], lists], names=["id", "text_key", "size", "sig"])
 
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.unhex(F.md5(body.cast("binary"))).alias("text_key"), body.alias(text))
-    return rows.mapInArrow(run, "id long, text_key binary, keys array<long>")
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.unhex(F.md5(body.cast("binary"))).alias("text_key"), F.octet_length(body).cast("long").alias("size"), body.alias("body"))
+    return rows.mapInArrow(run, "id long, text_key binary, size long, sig array<long>")
+
+
+def plant(classes: DataFrame, trees: int) -> DataFrame:
+    """The forest: ``tree, hi, lo, rep, size``, sorted by signature within ranges of it.
+
+    Ranges end with the ids, so that a subtree of any size spreads over as many as it takes.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    rows = classes.where("sig IS NOT NULL").select("rep", "size", "sig", tree).select("tree", F.expr("sig[2 * tree]").alias("hi"), F.expr("sig[2 * tree + 1]").alias("lo"), "rep", "size")
+    order = ["tree", "hi", "lo", "rep"]
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def shared_levels(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """How many values each signature shares, from the first on, with the one before; 0 for the first."""
+    out = np.zeros(len(hi), np.int64)
+    if len(hi) > 1:
+        up, down = hi[1:] ^ hi[:-1], lo[1:] ^ lo[:-1]
+        for level in range(4):
+            shift = np.uint64(48 - 16 * level)
+            out[1:] += up >> shift == 0
+            out[1:] += (up == 0) & (down >> shift == 0)
+    return out
+
+
+def neighbours(forest: DataFrame) -> DataFrame:
+    """``level, a, b``: texts next to each other in a tree that share two values or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree, hi, lo, rep = (batch.column(k).to_numpy() for k in range(4))
+            level = shared_levels(hi.view(np.uint64), lo.view(np.uint64))
+            level[1:][tree[1:] != tree[:-1]] = 0
+            at = np.flatnonzero(level > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(level[at].astype(np.int32)), pa.array(np.minimum(rep[at - 1], rep[at])), pa.array(np.maximum(rep[at - 1], rep[at]))], names=["level", "a", "b"])
+
+    return forest.select("tree", "hi", "lo", "rep").mapInArrow(run, "level int, a long, b long")
+
+
+def sampled_similarities(forest: DataFrame, bodies: DataFrame, n: int, most: int = SAMPLE_PAIRS) -> np.ndarray:
+    """Jaccard indices of neighbours: for each number of shared values ``most`` pairs, by their hash."""
+    pairs = materialize(neighbours(forest).groupBy("a", "b").agg(F.max("level").alias("level")).select("level", "a", "b", F.shiftright(F.xxhash64("a", "b"), 2).alias("key")), "neighbours")
+    chosen = None
+    for r in pairs.groupBy("level").count().collect():
+        some = pairs.where(F.col("level") == r["level"])
+        at = kth_largest(some.select("key"), most) if r["count"] > most else None
+        some = some if at is None else some.where(F.col("key") >= at)
+        chosen = some if chosen is None else chosen.unionAll(some)
+    if chosen is None:
+        return np.zeros(0)
+    chosen = materialize(chosen.select("a", "b"), "sample")
+    ends = chosen.select(F.col("a").alias("rep")).unionAll(chosen.select(F.col("b").alias("rep"))).distinct()
+    # 2 * LEVELS * SAMPLE_PAIRS ids at most.
+    texts = materialize(bodies.join(F.broadcast(ends), "rep", "left_semi").groupBy("rep").agg(F.min("body").alias("body")), "sample")
+    left, right = (texts.select(F.col("rep").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "a_body"):
+            both = [Words(block.column(k)).ngrams(n) for k in (0, 1)]
+            out = []
+            for i in range(block.num_rows):
+                x, y = (np.unique(g[ptr[i] : ptr[i + 1]]) for g, _, ptr in both)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(same / max(1, len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["similarity"])
+
+    met = chosen.join(left, "a").join(right, "b").select("a_body", "b_body")
+    return np.array([r[0] for r in met.mapInArrow(run, "similarity double").collect()])
+
+
+def found_with(depths: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+    """With which probability trees cut at these depths bring together pairs of these similarities."""
+    return 1 - np.prod(1 - similarity[:, None] ** depths[None, :], axis=1)
+
+
+def recall_of(depths: np.ndarray, similarity: np.ndarray, threshold: float, bands: int = BANDS) -> float:
+    """The least recall of any band of links, each with one link more at its lower edge."""
+    edges = threshold + (1 - threshold) * np.arange(bands) / bands
+    of = np.searchsorted(edges, similarity + 1e-12, "right") - 1
+    return min(float(found_with(depths, np.append(similarity[of == k], edge)).mean()) for k, edge in enumerate(edges))
+
+
+def shorten(similarity: np.ndarray, threshold: float, trees: int = TREES, recall: float = RECALL) -> np.ndarray:
+    """Each tree's depth: prefixes are shortened, the longest first, until the recall is reached."""
+    depths = np.full(trees, LEVELS)
+    while depths.max() > 1 and recall_of(depths, similarity, threshold) < recall:
+        depths[int(depths.argmax())] -= 1
+    return depths
+
+
+def subtree_key(tree: str, hi: str, lo: str, depths: np.ndarray) -> str:
+    """In SQL, a hash of the subtree of a signature's prefix at its tree's depth."""
+    depth = f"array({', '.join(map(str, depths.tolist()))})[{tree}]"
+    return f"CASE WHEN {depth} > 4 THEN xxhash64({tree}, {hi}, shiftrightunsigned({lo}, 16 * (8 - {depth}))) ELSE xxhash64({tree}, shiftrightunsigned({hi}, 16 * (4 - {depth}))) END"
 
 
 def similar(sets: list[np.ndarray], tile: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,27 +298,30 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("class_id")).unionAll(heads)
 
 
-def join_similar(df: DataFrame, id_column: str, text: str, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+def join_similar(df: DataFrame, id_column: str, text: str, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """``id``, ``class_id``, ``n_links``, ``text_key`` for each row of ``df``.
 
     ``class_id`` is the least id of the row's class; ``n_links`` counts the other rows that are equal
     or reach the threshold.
     """
-    depth = forest_depth(threshold, trees, recall=recall)
-    sig = materialize(signatures(df, id_column, text, n, trees, depth), "signatures")
-    classes = materialize(sig.where("id IS NOT NULL").groupBy("text_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "classes")
-    nodes = classes.where("keys IS NOT NULL").select("rep", F.posexplode("keys").alias("tree", "key"))
-    subtrees = nodes.groupBy("key").agg(F.min("tree").alias("tree"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
-    kept = subtrees.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("first")).select(F.col("first.key").alias("key"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    sig = materialize(signatures(df, id_column, text, n, trees), "signatures")
+    classes = materialize(sig.where("id IS NOT NULL").groupBy("text_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "classes")
+    body = F.coalesce(F.col(text), F.lit(""))
+    source = df.select(F.col(id_column).cast("long").alias("rep"), body.alias("body"))
+    forest = materialize(plant(classes, trees), "forest")
+    depths = shorten(sampled_similarities(forest, source, n), threshold, trees, recall)
+    nodes = forest.select("rep", "size", "tree", F.expr(subtree_key("tree", "hi", "lo", depths)).alias("key"))
+    subtrees = nodes.groupBy("key").agg(F.min("tree").alias("tree"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
+    tiles = F.greatest(F.ceil(F.max("n") / tile), F.ceil(F.max("bytes") / tile_bytes)).cast("int")
+    kept = subtrees.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("first"), tiles.alias("tiles")).select(F.col("first.key").alias("key"), "tiles")
     members = nodes.join(kept, "key").select("rep", "key", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"))
     members = materialize(members, "members")
     needed = members.select("rep").distinct()
-    body = F.coalesce(F.col(text), F.lit(""))
-    source = df.select(F.col(id_column).cast("long").alias("rep"), body.alias("body"))
     wanted = needed.count()
     texts = source.join(F.broadcast(needed) if wanted <= BROADCAST_IDS else needed, "rep", "left_semi")
     texts = texts.select("rep", F.unhex(F.md5(F.col("body").cast("binary"))).alias("text_key"), "body").dropDuplicates(["rep", "text_key"])
-    whole = classes.join(texts, ["rep", "text_key"]).select("rep", "copies", "keys", "body")
+    keys = F.expr(f"transform(sequence(0, {trees - 1}), t -> {subtree_key('t', 'sig[2 * t]', 'sig[2 * t + 1]', depths)})")
+    whole = classes.join(texts, ["rep", "text_key"]).select("rep", "copies", keys.alias("keys"), "body")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     pieces = members.select("*", other).join(whole, "rep").select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "rep", "copies", "keys", "body")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -241,11 +340,11 @@ def keep_one(df: DataFrame, id_column: str, text: str, **options) -> DataFrame:
     Rows with a null id stay. Of rows that repeat a kept id with the same text, one stays.
     """
     joined = join_similar(df, id_column, text, **options)
-    gone = materialize(joined.where("class_id <> id").select("id").distinct(), "gone")
-    key = F.col(id_column).cast("long")
-    left = df.withColumn("__id", key).join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti").drop("__id")
-    again = materialize(joined.where("id IS NOT NULL AND class_id = id").groupBy("id").count().where("count > 1").select("id"), "again")
+    key, mark = F.col(id_column).cast("long"), spare(df, "kept_id")
+    gone = materialize(joined.where("class_id <> id").select(F.col("id").alias(mark)).distinct(), "gone")
+    left = df.join(gone, key == F.col(mark), "left_anti")
+    again = materialize(joined.where("id IS NOT NULL AND class_id = id").groupBy(F.col("id").alias(mark)).count().where("count > 1").select(mark), "again")
     if not again.limit(1).count():
         return left
-    twice = left.join(again, key == again["id"], "left_semi").dropDuplicates([id_column])
-    return left.join(again, key == again["id"], "left_anti").unionByName(twice)
+    twice = left.join(again, key == F.col(mark), "left_semi").dropDuplicates([id_column])
+    return left.join(again, key == F.col(mark), "left_anti").unionByName(twice)

@@ -2,10 +2,12 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix.llm import neardup
+from curatrix.llm.words import Words
 
 
 def shingles(text, n=5):
@@ -83,10 +85,83 @@ def test_without_broadcast(spark, monkeypatch):
     assert sorted((r.id, r.class_id, r.n_links) for r in neardup.join_similar(df, "doc_id", "text").collect()) == brute(rows)
 
 
-def test_depth_is_shortened_until_the_recall():
-    assert neardup.forest_depth(0.8, 16, 8, 0.9995) == 4
-    assert neardup.forest_depth(0.8, 16, 8, 0.5) > 4
-    assert neardup.forest_depth(0.5, 1, 8, 0.9999) == 1
+def test_prefixes_are_shortened_until_the_recall():
+    none = np.zeros(0)
+    at_edge = neardup.shorten(none, 0.8)
+    assert neardup.recall_of(at_edge, none, 0.8) >= 0.9995 and set(at_edge) <= {4, 5}
+    longer = at_edge.copy()
+    longer[longer.argmin()] += 1
+    assert neardup.recall_of(longer, none, 0.8) < 0.9995
+    # Links that are found easily leave prefixes longer, and dissimilar neighbours say nothing.
+    easy = neardup.shorten(np.full(1000, 0.849), 0.8)
+    assert easy.sum() > at_edge.sum()
+    assert neardup.shorten(np.full(1000, 0.3), 0.8).tolist() == at_edge.tolist()
+    assert neardup.shorten(none, 0.8, recall=0.5).min() > 5
+    assert neardup.shorten(none, 0.5, trees=1, recall=0.9999).tolist() == [1]
+
+
+def test_shared_levels():
+    hi = np.array([0x0001000200030004, 0x0001000200030004, 0x0001000200030005, 0x0001000300030005, 0x8000000000000000], np.uint64)
+    lo = np.array([0x0005000600070008, 0x0005000600090008, 0x0005000600090008, 0x0005000600090008, 0], np.uint64)
+    assert neardup.shared_levels(hi, lo).tolist() == [0, 6, 3, 1, 0]
+    assert neardup.shared_levels(hi[:1], lo[:1]).tolist() == [0] and len(neardup.shared_levels(hi[:0], lo[:0])) == 0
+
+
+def test_signatures_agree_as_often_as_sets_do():
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = [w if rng.random() > 0.03 else "x" + w for w in base]
+        texts += [" ".join(base), " ".join(other)]
+    sig, full = neardup.signatures_of(Words(pa.array(texts)), 5, 16)
+    assert full.tolist() == list(range(120)) and len(np.unique(sig[::2])) == sig[::2].size
+    values = sig.view(np.uint16).reshape(120, -1)
+    agree = (values[::2] == values[1::2]).mean(1)
+    true = np.array([len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)])
+    assert abs((agree - true).mean()) < 0.01 and np.abs(agree - true).max() < 0.2
+
+
+def test_forest_is_sorted_and_neighbours_are_sampled(spark):
+    rows = corpus(7, 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = neardup.signatures(df, "doc_id", "text", 5, 4)
+    classes = sig.groupBy("text_key").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    forest = neardup.plant(classes, 4)
+    got = [(r.tree, r.hi, r.lo, r.rep) for r in forest.collect()]
+    assert got == sorted(got) and len(got) == 4 * classes.where("sig IS NOT NULL").count()
+    bodies = df.select(F.col("doc_id").alias("rep"), F.col("text").alias("body"))
+    found = neardup.sampled_similarities(forest, bodies, 5)
+    assert (found >= 0.8).sum() > 20 and found.max() <= 1
+    assert 0 < len(neardup.sampled_similarities(forest, bodies, 5, most=3)) <= 3 * 7
+
+
+def test_recall_of_links_near_the_threshold(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(150):  # a changed word breaks five n-grams of 100 to 200
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(100, 200))]
+        rows.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            for _ in range(rng.randint(1, 5)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = sum(r.n_links for r in neardup.join_similar(df, "doc_id", "text").collect())
+    true = sum(r[2] for r in brute(rows))
+    assert true > 300 and 0.995 * true <= links <= true
+    # With a low target, prefixes stay longer and fewer are found.
+    few = sum(r.n_links for r in neardup.join_similar(df, "doc_id", "text", trees=2, recall=0.3).collect())
+    assert 0 < few < links
+
+
+def test_long_texts_make_tiles_of_their_own(spark):
+    rows = corpus(9, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id, r.class_id, r.n_links) for r in neardup.join_similar(df, "doc_id", "text", tile_bytes=200).collect())
+    assert got == brute(rows)
 
 
 def test_chains_are_one_component(spark):
