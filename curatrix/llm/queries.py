@@ -82,8 +82,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_part("doc_id", 4, 2)
-    windows = toxicity.training_windows(docs, "text", "doc_id", table(spark, sf_dir, "labels"), "toxic", ~held_out)
-    out = toxicity.score(docs, "text", toxicity.fit(*windows))
+    examples = toxicity.training_examples(docs, "text", "doc_id", table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    out = toxicity.score(docs, "text", toxicity.fit(*examples))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -8,13 +8,14 @@ a long text doesn't dilute what is in one place. Vectors and softmax are trained
 on windows of labelled texts under their text's label.
 
 Training takes MAX_TRAIN texts of each label at most, chosen by a hash of their id, and all windows of
-each; their text goes to the driver, so memory there grows with the length of the 2 * MAX_TRAIN texts.
-Scores cover all texts, whole.
+each. They are encoded once as blocks of buckets, a table; each step of training sums loss and gradient
+over the blocks in FIT_TASKS tasks, and the driver holds vectors and gradients only, whose size is
+fixed, whatever the texts' lengths. Scores cover all texts, whole.
 
 Defined cases: a null or empty text is one window without words and gets the score of the softmax's
-bias; a text with several labels is toxic if any is; ids, languages and sources are no input. Without
-labels of both kinds every score is the share of toxic labels. Rows keep their columns; ``score`` must
-not be among them.
+bias; a text with several labels is toxic if any is; of rows that repeat a labelled id the least text
+trains; ids, languages and sources are no input. Without labels of both kinds every score is the share
+of toxic labels. Rows keep their other columns; a ``score`` of the input is replaced.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from curatrix.llm.words import Words, blocks, span_hashes
 
 WINDOW, BUCKETS, DIMENSIONS = 40, 1 << 17, 4
 MAX_TRAIN = 3000
+FIT_TASKS, FIT_BYTES = 8, 4 << 20
 LEAST = 20  # a window of fewer distinct words counts as so many
 STEPS, DECAY, SHRINK, GAIN = 25, 2.5e-6, 100.0, 20.0
 #: A clean text is clean in each of its windows, and is judged by the worst: they weigh so much more.
 CLEAN_WEIGHT = 5.0
+_EXAMPLES = "bucket binary, per_word binary, window binary, kind binary, first binary, toxic binary, weight binary"
 
 
 def windows_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +89,7 @@ def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
         for s, y, r in reversed(moves):
             parts.append((s @ d) * r)
             d = d - parts[-1] * y
-        d *= 1 / (moves[-1][2] * (moves[-1][1] @ moves[-1][1])) if moves else 0.1 / max(1e-12, np.abs(d).max())
+        d *= 1 / (moves[-1][2] * (moves[-1][1] @ moves[-1][1])) if moves else 0.1 / max(1e-12, np.abs(d).max(initial=0))
         for (s, y, r), part in zip(moves, reversed(parts), strict=True):
             d = d + (part - (y @ d) * r) * s
         fall, length = slope @ d, 1.0
@@ -102,68 +105,145 @@ def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def fit(texts: list[str], labels: np.ndarray, groups: np.ndarray, clean_weight: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Train on windows of texts; the log odds that each bucket adds to a word, and the bias.
+class Block:
+    """The windows of some training texts: distinct pairs of window and word, and words as buckets."""
 
-    ``groups`` tells which windows are of one text. All windows first have their text's label; then
-    those of toxic texts that the model finds clean are left out, but for the worst of each text, and
-    training goes on. Vectors and softmax are only ever used through what is returned.
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        kinds = (np.int32, np.int32, np.int32, np.int32, np.int32, np.int8, np.float64)
+        self.bucket, self.per_word, self.window, self.kind, self.first, self.toxic, self.weight = (np.frombuffer(batch.column(k)[row].as_buffer(), t) for k, t in enumerate(kinds))
+        self.ptr = np.concatenate([[0], np.cumsum(self.per_word)])[:-1]
+        self.gain = GAIN / np.maximum(np.bincount(self.window, minlength=len(self.toxic)), LEAST)
+
+    def of_words(self, values: np.ndarray) -> np.ndarray:
+        """The mean over each word's buckets."""
+        return np.add.reduceat(values[self.bucket], self.ptr) / self.per_word if len(self.ptr) else np.zeros(0)
+
+    def to_buckets(self, values: np.ndarray) -> np.ndarray:
+        """What each window gives its words, as sums over buckets."""
+        word = np.bincount(self.kind, values[self.window], len(self.ptr)) / np.maximum(self.per_word, 1)
+        return np.bincount(self.bucket, np.repeat(word, self.per_word), BUCKETS)
+
+    def log_softmax(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means of the windows, and log probabilities of both labels."""
+        mean = np.stack([np.bincount(self.window, self.of_words(v)[self.kind], len(self.toxic)) for v in vectors]) * self.gain
+        logits = softmax.T @ mean + bias[:, None]
+        logits -= logits.max(0)
+        return mean, logits - np.log(np.exp(logits).sum(0))
+
+    def curve(self) -> np.ndarray:
+        """How much each bucket moves the windows."""
+        word = np.bincount(self.kind, self.gain[self.window] ** 2, len(self.ptr)) / np.maximum(self.per_word, 1).astype(float) ** 2
+        return np.bincount(self.bucket, np.repeat(word, self.per_word), BUCKETS)
+
+    def slope(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighted loss, and its gradient by vectors, softmax and bias, one after the other."""
+        mean, log_p = self.log_softmax(vectors, softmax, bias)
+        truth = np.stack([self.toxic == 0, self.toxic == 1])
+        error = (np.exp(log_p) - truth) * self.weight
+        back = [self.to_buckets(g) for g in (softmax @ error) * self.gain]
+        return -float((self.weight * (log_p * truth).sum(0)).sum()), np.concatenate([*back, (mean @ error.T).reshape(-1), error.sum(1)])
+
+    def reweighted(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Weights without the windows of toxic texts that look clean, but for the worst of each text."""
+        toxic = self.log_softmax(vectors, softmax, bias)[1][1]
+        worst = np.zeros(len(toxic), bool)
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        order = np.lexsort((-toxic, text))
+        worst[order[self.first[:-1]]] = True
+        return np.where((self.toxic == 1) & ~worst & (toxic < np.log(0.5)), 0.0, self.weight)
+
+
+def encode_texts(rows: DataFrame, clean_weight: float) -> DataFrame:
+    """``rows`` (``label``, ``body``) as blocks of whole texts of about FIT_BYTES, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "body", FIT_BYTES):
+            words = Words(block.column(1))
+            window, first = windows_of(words)
+            one, window, kind = bags(words, window)
+            bucket, ptr = subwords(words, one)
+            toxic = np.repeat(block.column(0).to_numpy().astype(np.int8), np.diff(first))
+            weight = np.where(toxic == 1, 1.0, CLEAN_WEIGHT * clean_weight)
+            arrays = (bucket.astype(np.int32), np.diff(ptr).astype(np.int32), window.astype(np.int32), kind.astype(np.int32), first.astype(np.int32), toxic, weight)
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=[f.split()[0] for f in _EXAMPLES.split(", ")])
+
+    return rows.select("label", "body").mapInArrow(run, _EXAMPLES)
+
+
+def _summed(examples: DataFrame, each: Callable[[Block], tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:
+    """The sums of a value and of an array over all blocks, task by task.
+
+    The driver gets FIT_TASKS arrays at most; between tasks and driver 32 bits of a number do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, total = 0.0, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                more, found = each(Block(batch, i))
+                value, total = value + more, found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["value", "total"])
+
+    value, total = 0.0, np.zeros(1)
+    for r in examples.coalesce(FIT_TASKS).mapInArrow(run, "value double, total binary").collect():
+        value, total = value + r["value"], total + np.frombuffer(r["total"], np.float32)
+    return value, total
+
+
+def fit(examples: DataFrame, share: float, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Train on blocks (see ``encode_texts``); the log odds that each bucket adds to a word, and the bias.
+
+    ``share`` is that of toxic texts. All windows first have their text's label; then those of toxic
+    texts that the model finds clean are left out, but for the worst of each text, and training goes
+    on. Vectors and softmax are only ever used through what is returned.
     """
-    labels = np.asarray(labels, np.float64)
-    share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return np.zeros(BUCKETS), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    words = Words(pa.array(texts, pa.string()))
-    one, window, kind = bags(words, words.docs)
-    bucket, ptr = subwords(words, one)
-    del words
-    per_word = np.diff(ptr)
-    of_word = np.repeat(np.arange(len(one)), per_word)
-    gain = GAIN / np.maximum(np.bincount(window, minlength=len(texts)), LEAST)
-    used, bucket = np.unique(bucket, return_inverse=True)
+    context = examples.sparkSession.sparkContext
     # Steps are taken in vectors scaled by how much a bucket moves the windows, so rare ones move less.
-    curve = np.bincount(bucket, (np.bincount(kind, gain[window] ** 2, len(one)) / per_word**2)[of_word], len(used))
-    scale = 1 / np.sqrt(curve + SHRINK * np.median(curve))
-    scale /= scale.max()
-    rng = np.random.default_rng(seed)
+    curve = _summed(examples, lambda b: (0.0, b.curve()))[1]
+    used = np.flatnonzero(curve)
+    scale = 1 / np.sqrt(curve[used] + SHRINK * np.median(curve[used])) if len(used) else np.ones(0)
+    scale /= scale.max(initial=1e-300)
     size = DIMENSIONS * len(used)
-    truth, weight = np.stack([1 - labels, labels]), np.where(labels == 1, 1.0, CLEAN_WEIGHT * clean_weight)
+    rng = np.random.default_rng(seed)
 
     def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return x[:size].reshape(DIMENSIONS, -1), x[size:-2].reshape(DIMENSIONS, 2), x[-2:]
+        vectors = np.zeros((DIMENSIONS, BUCKETS))
+        vectors[:, used] = x[:size].reshape(DIMENSIONS, -1) * scale
+        return vectors, x[size:-2].reshape(DIMENSIONS, 2), x[-2:]
 
-    def means(vectors: np.ndarray) -> np.ndarray:
-        word = [np.bincount(of_word, v[bucket], len(one)) / per_word for v in vectors * scale]
-        return np.stack([np.bincount(window, w[kind], len(texts)) for w in word]) * gain
+    def with_model(x: np.ndarray, call: Callable):  # noqa: ANN202
+        shared = context.broadcast(parts(x))
+        try:
+            return call(shared)
+        finally:
+            shared.destroy()
 
-    def log_softmax(mean: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        logits = softmax.T @ mean + bias[:, None]
-        logits -= logits.max(0)
-        return logits - np.log(np.exp(logits).sum(0))
-
-    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        vectors, softmax, bias = parts(x)
-        mean = means(vectors)
-        log_p = log_softmax(mean, softmax, bias)
-        share = weight / weight.sum()
-        error = (np.exp(log_p) - truth) * share
-        back = [np.bincount(kind, g[window], len(one)) / per_word for g in (softmax @ error) * gain]
-        slope = np.stack([np.bincount(bucket, g[of_word], len(used)) for g in back]) * scale
-        value = -(share * (log_p * truth).sum(0)).sum() + 0.5 * DECAY * ((vectors**2).sum() + (softmax**2).sum())
-        return value, np.concatenate([(slope + DECAY * vectors).reshape(-1), (mean @ error.T + DECAY * softmax).reshape(-1), error.sum(1)])
+    def minimum(blocks_: DataFrame, x: np.ndarray) -> np.ndarray:
+        total, _ = _summed(blocks_, lambda b: (float(b.weight.sum()), np.zeros(1)))
+
+        def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+            value, slope = with_model(x, lambda shared: _summed(blocks_, lambda b: b.slope(*shared.value)))
+            by_bucket = slope[: DIMENSIONS * BUCKETS].reshape(DIMENSIONS, -1)[:, used] * scale / total
+            return value / total + 0.5 * DECAY * (x[:-2] ** 2).sum(), np.concatenate([by_bucket.reshape(-1) + DECAY * x[:size], slope[DIMENSIONS * BUCKETS : -2] / total + DECAY * x[size:-2], slope[-2:] / total])
+
+        return minimize(loss, x, STEPS)
 
     x = np.concatenate([rng.normal(0, 0.01, size), rng.normal(0, 1, 2 * DIMENSIONS), np.zeros(2)])
-    x = minimize(loss, x, STEPS)
-    vectors, softmax, bias = parts(x)
-    toxic = log_softmax(means(vectors), softmax, bias)[1]
-    order = np.lexsort((-toxic, groups))
-    worst = np.zeros(len(texts), bool)
-    worst[order[np.concatenate([[True], groups[order][1:] != groups[order][:-1]])]] = True
-    weight[(labels == 1) & ~worst & (toxic < np.log(0.5))] = 0.0
-    vectors, softmax, bias = parts(minimize(loss, x, STEPS))
-    odds = np.zeros(BUCKETS)
-    odds[used] = GAIN * ((softmax[:, 1] - softmax[:, 0]) @ (vectors * scale))
-    return odds, float(bias[1] - bias[0])
+    x = minimum(examples, x)
+
+    def weigh(shared) -> DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                weights = [Block(batch, i).reweighted(*shared.value).tobytes() for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weights, pa.binary())], names=batch.schema.names)
+
+        return materialize(examples.mapInArrow(run, _EXAMPLES), "examples")
+
+    vectors, softmax, bias = parts(minimum(with_model(x, weigh), x))
+    return GAIN * ((softmax[:, 1] - softmax[:, 0]) @ vectors), float(bias[1] - bias[0])
 
 
 def score_block(model: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray:
@@ -181,38 +261,27 @@ def score_block(model: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(logit, first[:-1]), -50, 50)))
 
 
-def training_windows(df: DataFrame, text: str, id_column: str, labels: DataFrame, label: str, keep: Column, most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """What ``fit`` takes: windows of the labelled texts that ``keep`` (on the id) lets in, labels,
-    texts, and the weight of clean ones that makes up for what the sample left out.
+def training_examples(df: DataFrame, text: str, id_column: str, labels: DataFrame, label: str, keep: Column, most: int = MAX_TRAIN) -> tuple[DataFrame, float]:
+    """What ``fit`` takes: blocks of the labelled texts that ``keep`` (on the id) lets in, from a table,
+    and the share of toxic ones. Clean ones weigh so much more as the sample left out more of them.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).where(keep)
-    each = known.groupBy(F.col(id_column).alias("__id")).agg(F.max(label).alias("__label"))
-    each = materialize(each, "labels")
-    chosen = some_by_hash(each.where("__label = 1"), "__id", most).unionAll(some_by_hash(each.where("__label = 0"), "__id", most))
-    rows = df.select(id_column, text).join(F.broadcast(chosen), F.col(id_column) == F.col("__id")).select("__id", "__label", text)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            words = Words(block.column(2))
-            window, first = windows_of(words)
-            begin = np.searchsorted(window, np.arange(first[-1] + 1))
-            out: list[tuple] = []
-            for d in range(block.num_rows):
-                key, toxic = block.column(0)[d].as_py(), block.column(1)[d].as_py()
-                for w in range(int(first[d]), int(first[d + 1])):
-                    out.append((key, w - int(first[d]), int(toxic), b" ".join(words.word(i) for i in range(begin[w], begin[w + 1])).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())], names=["key", "window", "toxic", "text"])
-
-    # Rows that repeat an id are one training text: the same window of it comes once.
-    found = rows.mapInArrow(cut, "key long, window long, toxic long, text string").dropDuplicates(["key", "window"]).toPandas()
-    found = found.sort_values(["key", "window"])
-    clean, toxic = (each.where(f"__label = {x}").count() for x in (0, 1))
+    each = materialize(known.groupBy(F.col(id_column).alias("key")).agg(F.max(label).alias("label")), "labels")
+    chosen = some_by_hash(each.where("label = 1"), "key", most).unionAll(some_by_hash(each.where("label = 0"), "key", most))
+    # 2 * MAX_TRAIN ids and those that tie with the last; rows that repeat an id are one training text.
+    texts = df.select(F.col(id_column).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(chosen), "key")
+    texts = texts.groupBy("key").agg(F.max("label").alias("label"), F.min("body").alias("body"))
+    clean, toxic = (each.where(f"label = {x}").count() for x in (0, 1))
     weight = (clean / max(1, min(clean, most))) / (toxic / max(1, min(toxic, most))) if clean and toxic else 1.0
-    return found["text"].tolist(), found["toxic"].to_numpy(), found["key"].to_numpy(), weight
+    dealt = materialize(texts.select("key", "label", "body").repartition(FIT_TASKS), "texts")
+    examples = materialize(encode_texts(dealt, weight), "examples")
+    found = dealt.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    return examples, float(found[1] / found[0]) if found[0] else 0.0
 
 
 def score(df: DataFrame, text: str, model: tuple[np.ndarray, float]) -> DataFrame:
     """``df`` with ``score``: 0 to 1, higher where label 1 is likelier."""
+    df = df.drop("score")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     known = df.sparkSession.sparkContext.broadcast(model)
 
