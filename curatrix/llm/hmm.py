@@ -3,14 +3,16 @@
 Words are counted over all training texts. The model's symbols are the SYMBOLS most frequent words, one
 class for each of CLASSES hashed word endings, which all other words share, and the end of a text.
 Baum-Welch trains states that emit symbols: partitions run forward and backward over all training
-texts, in segments of SEGMENT tokens, expected counts are summed, and the driver holds the model only,
-whose size is fixed. A word in a class has its share of it by its count: (c + 0.5) out of the class's
+texts, expected counts are summed, and the driver holds the model only, whose size is fixed. Texts are
+worked on whole, in pieces of SEGMENT tokens side by side: products of each piece's steps give the
+exact forward and backward vectors at its ends first, so nothing depends on where a text is cut. A word in a class has its share of it by its count: (c + 0.5) out of the class's
 counts, with half a count for a word never seen. A text's score is the exact log10 likelihood of all
 its tokens under the model, by the scaled forward recursion over the whole text; ``base_score`` is
 that of an unordered model with half a count added to each word.
 
 Words are known by 54 bits of their hash and 10 bits of their ending. Counts of all words stay spread
-over buckets, packed in rows; only the KNOWN_WORDS most frequent are broadcast. The others' part of a
+over buckets, packed in rows, as many as the corpus has times BUCKET_BYTES; only the KNOWN_WORDS most
+frequent are broadcast (of words that tie for the last place, none). The others' part of a
 score is a sum over words, so occurrences travel to the bucket of their counts, and sums travel back;
 both carry at most a row for each pair of block and bucket.
 
@@ -30,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize
+from curatrix.llm.common import kth_largest, materialize
 from curatrix.llm.words import Words, blocks, span_hashes
 
 STATES, SYMBOLS, CLASSES, KNOWN_WORDS, ROUNDS, SEGMENT = 6, 4096, 1024, 300_000, 5, 128
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES, BUCKET_BYTES = 1 << 22, 64 << 20
+#: Segments that forward and backward vectors are held for at a time.
+_HELD_SEGMENTS = 4096
 _HELD_WORDS = 1 << 20
 END = SYMBOLS + CLASSES
 WIDTH = END + 1
@@ -97,19 +101,20 @@ def count_words(train: DataFrame, text: str, buckets: int) -> DataFrame:
         keys, n = summed(np.frombuffer(b"".join(rows["keys"]), np.uint64), np.frombuffer(b"".join(rows["counts"]), np.int32).astype(np.int64))
         best = np.argsort(-n, kind="stable")[:top]
         kind = (keys % np.uint64(CLASSES)).astype(np.int64)
-        return pd.DataFrame({"bucket": [key[0]], "keys": [keys.tobytes()], "counts": [n.tobytes()], "words": [len(keys)], "total": [int(n.sum())], "top_keys": [keys[best].tobytes()], "top_counts": [n[best].tobytes()], "class_total": [np.bincount(kind, n, CLASSES).astype(np.int64).tolist()], "class_words": [np.bincount(kind, minlength=CLASSES).tolist()]})
+        return pd.DataFrame({"bucket": [key[0]], "keys": [keys.tobytes()], "counts": [n.tobytes()], "words": [len(keys)], "total": [int(n.sum())], "top": [list(zip(keys[best].view(np.int64).tolist(), n[best].tolist()))], "class_total": [np.bincount(kind, n, CLASSES).astype(np.int64).tolist()], "class_words": [np.bincount(kind, minlength=CLASSES).tolist()]})
 
     sent = train.select(text).mapInArrow(count, "bucket int, keys binary, counts binary")
-    return materialize(sent.groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, counts binary, words long, total long, top_keys binary, top_counts binary, class_total array<long>, class_words array<long>"), "vocabulary")
+    return materialize(sent.groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, counts binary, words long, total long, top array<struct<key:long,n:long>>, class_total array<long>, class_words array<long>"), "vocabulary")
 
 
 def describe(vocabulary: DataFrame, texts: int) -> dict:
     """What every task needs of the counts; its size has a fixed bound."""
     total, distinct = vocabulary.agg(F.sum("total"), F.sum("words")).first()
-    parts = vocabulary.select("top_keys", "top_counts").collect()
-    keys = np.concatenate([np.frombuffer(r[0], np.uint64) for r in parts]) if parts else np.zeros(0, np.uint64)
-    counts = np.concatenate([np.frombuffer(r[1], np.int64) for r in parts]) if parts else np.zeros(0, np.int64)
-    best = np.lexsort((keys, -counts))[:KNOWN_WORDS]
+    top = vocabulary.select(F.inline("top"))
+    least = kth_largest(top.select(F.col("n").alias("key")), KNOWN_WORDS + 1)
+    parts = (top if least is None else top.where(F.col("n") > least)).collect()
+    keys, counts = np.array([r[0] for r in parts], np.int64).view(np.uint64), np.array([r[1] for r in parts], np.int64)
+    best = np.lexsort((keys, -counts))
     keys, counts = keys[best], counts[best]
     symbol = np.where(np.arange(len(keys)) < SYMBOLS, np.arange(len(keys)), SYMBOLS + (keys % np.uint64(CLASSES)).astype(np.int64))
     sums, words = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -189,54 +194,95 @@ class Model:
         emit[:, END] = unigram[END]
         return cls(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(1, keepdims=True))
 
+    def edges(self, symbols: np.ndarray, lengths: np.ndarray, back: bool = True) -> tuple[np.ndarray, ...]:
+        """The segments of all texts, in order: text, first token, size, whether it begins its text,
+        the forward vector before it and the backward vector behind it.
+        """
+        states = len(self.start)
+        parts = -(-lengths // SEGMENT)
+        text = np.repeat(np.arange(len(lengths)), parts)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = (np.cumsum(lengths) - lengths)[text] + place * SEGMENT
+        size = np.minimum(lengths[text] - place * SEGMENT, SEGMENT)
+        head = place == 0
+        enter, leave = np.tile(self.start, (len(text), 1)), np.ones((len(text), states))
+        long = np.flatnonzero(parts[text] > 1)
+        if len(long):
+            # The product of all steps of a segment, as it acts on the vector before it; a text's first
+            # one begins with the start's probabilities in place of a step.
+            emit = np.ascontiguousarray(self.emit.T)
+            order = long[np.argsort(-size[long], kind="stable")]
+            product = np.tile(np.eye(states), (len(order), 1, 1))
+            first = head[order]
+            for t in range(SEGMENT):
+                n = int(np.searchsorted(-size[order], -t, "left"))  # segments longer than t
+                b = emit[symbols[begin[order[:n]] + t]]
+                if t == 0:
+                    now = np.where(first[:, None, None], np.eye(states), self.step) * b[:, None, :]
+                else:
+                    now = (product[:n].reshape(-1, states) @ self.step).reshape(n, states, states) * b[:, None, :]
+                if t % 16 == 15 or t == SEGMENT - 1:
+                    now /= now.max((1, 2), keepdims=True)
+                product[:n] = now
+            product /= product.max((1, 2), keepdims=True)
+            at = np.zeros(len(text), np.int64)
+            at[order] = np.arange(len(order))
+            for wave in range(1, int(parts.max())):
+                here = long[place[long] == wave]
+                v = (enter[here - 1][:, None, :] @ product[at[here - 1]])[:, 0]
+                enter[here] = v / v.sum(1, keepdims=True)
+            for wave in range(int(parts.max()) - 2, -1, -1) if back else ():
+                here = long[(place[long] == wave) & (wave + 1 < parts[text[long]])]
+                v = (product[at[here + 1]] @ leave[here + 1][:, :, None])[:, :, 0]
+                leave[here] = v / v.sum(1, keepdims=True)
+        return text, begin, size, head, enter, leave
+
     def counts(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Expected counts: of emissions by symbol, then of steps by the state left, then of starts."""
+        out = np.zeros((WIDTH + len(self.start) + 1, len(self.start)))
+        _, begin, size, head, enter, leave = self.edges(symbols, lengths)
+        for low in range(0, len(size), _HELD_SEGMENTS):
+            cut = slice(low, low + _HELD_SEGMENTS)
+            self._count(out, symbols, begin[cut], size[cut], head[cut], enter[cut], leave[cut])
+        return out
+
+    def _count(self, out: np.ndarray, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, head: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> None:
+        """Add what ``counts`` returns for some segments; each goes on where the one before ends."""
         states = len(self.start)
-        out = np.zeros((WIDTH + states + 1, states))
-        parts = -(-lengths // SEGMENT)
-        first_of = np.repeat(np.cumsum(lengths) - lengths, parts)
-        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = first_of + place * SEGMENT
-        size = np.minimum(np.repeat(lengths, parts) - place * SEGMENT, SEGMENT)
         order = np.argsort(-size, kind="stable")
-        begin, size, heads = begin[order], size[order], (place == 0)[order]
-        if not len(size):
-            return out
+        begin, size, head, enter, leave = begin[order], size[order], head[order], enter[order], leave[order]
         emit = np.ascontiguousarray(self.emit.T)
         longest = int(size[0])
         active = np.searchsorted(-size, -np.arange(longest), "left")  # segments longer than t
         alphas, seen = [], []
-        even = np.full(states, 1 / states)
         for t in range(longest):
             n = active[t]
             b = emit[symbols[begin[:n] + t]]
-            a = (np.where(heads[:n, None], self.start, even) if t == 0 else alphas[-1][:n] @ self.step) * b
+            a = (np.where(head[:, None], enter, enter @ self.step) if t == 0 else alphas[-1][:n] @ self.step) * b
             a /= a.sum(1, keepdims=True)
             alphas.append(a)
             seen.append(b)
-        beta = np.ones((active[-1], states))
+        beta = leave[: active[-1]]
         steps = np.zeros((states, states))
         gammas = [None] * longest
         for t in range(longest - 1, -1, -1):
             n = active[t]
             if n > len(beta):
-                beta = np.concatenate([beta, np.ones((n - len(beta), states))])
+                beta = np.concatenate([beta, leave[len(beta) : n]])
             g = alphas[t] * beta
             g /= g.sum(1, keepdims=True)
             gammas[t] = g
+            before, back = (alphas[t - 1][:n], seen[t] * beta) if t else (enter[~head], (seen[0] * beta)[~head])
+            back /= ((before @ self.step) * back).sum(1, keepdims=True)
+            steps += before.T @ back
             if t:
-                back = seen[t] * beta
-                norm = ((alphas[t - 1][:n] @ self.step) * back).sum(1, keepdims=True)
-                back /= norm
-                steps += alphas[t - 1][:n].T @ back
                 beta = back @ self.step.T
         where = np.concatenate([symbols[begin[:n] + t] for t, n in enumerate(active)])
         gamma = np.concatenate(gammas)
         for s in range(states):
-            out[:WIDTH, s] = np.bincount(where, gamma[:, s], WIDTH)
-        out[WIDTH:-1] = self.step * steps
-        out[-1] = gammas[0][heads[: active[0]]].sum(0)
-        return out
+            out[:WIDTH, s] += np.bincount(where, gamma[:, s], WIDTH)
+        out[WIDTH:-1] += self.step * steps
+        out[-1] += gammas[0][head].sum(0)
 
     def updated(self, counts: np.ndarray, unigram: np.ndarray) -> Model:
         """The model that the counts ask for; each state leans on all texts by a few counts."""
@@ -248,23 +294,24 @@ class Model:
         return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
     def log_likelihood(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 of each text's likelihood: one scaled step for all texts at a time."""
-        order = np.argsort(-lengths, kind="stable")
-        begin, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        """log10 of each text's likelihood, by the scaled forward recursion over whole texts."""
         out = np.zeros(len(lengths))
+        text, begin, size, head, enter, _ = self.edges(symbols, lengths, back=False)
+        order = np.argsort(-size, kind="stable")
+        text, begin, size, head, enter = text[order], begin[order], size[order], head[order], enter[order]
         emit = np.ascontiguousarray(self.emit.T)
         active = np.searchsorted(-size, -np.arange(size[0]), "left") if len(size) else []
-        a, scale = None, np.ones(len(lengths))
+        logs, a, scale = np.zeros(len(size)), None, np.ones(len(size))
         for t, n in enumerate(active):
             b = emit[symbols[begin[:n] + t]]
-            a = (self.start if t == 0 else a[:n] @ self.step) * b
+            a = (np.where(head[:, None], enter, enter @ self.step) if t == 0 else a[:n] @ self.step) * b
             total = a.sum(1)
             a /= total[:, None]
             scale[:n] *= total
             if t % 16 == 15:  # 16 probabilities are far from the least double
-                out[order] += np.log10(scale)
+                logs += np.log10(scale)
                 scale[:] = 1.0
-        out[order] += np.log10(scale)
+        np.add.at(out, text, logs + np.log10(scale))
         return out
 
 
@@ -329,10 +376,11 @@ def rare_sums(encoded: DataFrame, vocabulary: DataFrame, buckets: int) -> DataFr
 def score_texts(df: DataFrame, id_column: str, text: str, held_out: Column) -> DataFrame:
     """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), held_out.alias("held"), F.col(text).alias("text"))
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     train = rows.where(~F.col("held"))
+    texts, size = rows.agg(F.count_if(~F.col("held")), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     vocabulary = count_words(train, "text", buckets)
-    known = describe(vocabulary, train.count())
+    known = describe(vocabulary, texts)
     encoded = encode(rows, "text", known)
     model = df.sparkSession.sparkContext.broadcast(baum_welch(encoded, known["unigram"]))
     few = df.sparkSession.sparkContext.broadcast({k: known[k] for k in ("ends", "tokens", "base_log")})
