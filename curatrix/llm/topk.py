@@ -2,7 +2,9 @@
 
 Vectors become whole numbers, floor(scale * x), so scores are exact. Candidates are packed into
 tiles of bounded size and queries into blocks; each block meets each tile once, through an equality
-join on lanes, as a matrix product. From every product only k entries a query leave, chosen by score
+join on lanes, as a matrix product. Tiles are dealt to lanes by a hash of their number, LANE_TILES to
+each or so, and both sides of the join are sorted, so they can spill. Matrices hold whole numbers of the
+fewest bytes that all of a tile's fit in. From every product only k entries a query leave, chosen by score
 and then id, and the lists of a query are merged in a tree whose nodes take a bounded number of lists.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part. Vectors of
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import materialize
 
-TILE_ROWS, QUERY_ROWS, FAN_IN = 4096, 1024, 64
-_TILE = "dim int, lane int, tile long, ids binary, matrix binary"
+TILE_ROWS, QUERY_ROWS, FAN_IN, LANE_TILES = 4096, 1024, 64, 16
+_TILE = "dim int, tile long, ids binary, matrix binary"
 
 
 def whole_numbers(df: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
@@ -34,7 +36,19 @@ def whole_numbers(df: DataFrame, id_column: str, vector: str, scale: int) -> Dat
     return df.where(F.col(id_column).isNotNull() & x.isNotNull() & good).select(F.col(id_column).cast("long").alias("id"), F.size(x).alias("dim"), v.alias("v"))
 
 
-def pack(df: DataFrame, rows: int, lanes: int) -> DataFrame:
+def narrow(m: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as they all fit in; how many is told by the length."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return m.astype(kind).tobytes()
+
+
+def wide(raw: np.ndarray, rows: int, dim: int) -> np.ndarray:
+    """The matrix that ``narrow`` packed."""
+    return raw.view(f"i{raw.size // (rows * dim)}").reshape(rows, dim).astype(np.int64) if rows * dim else np.zeros((rows, dim), np.int64)
+
+
+def pack(df: DataFrame, rows: int) -> DataFrame:
     """Rows packed into matrices of ``rows`` rows at most, sorted by id, all of one length."""
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +65,7 @@ def pack(df: DataFrame, rows: int, lanes: int) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             number = (task << 32) + made
             made += 1
-            return pa.RecordBatch.from_pydict({"dim": [dim], "lane": [number % lanes], "tile": [number], "ids": [ids[order].tobytes()], "matrix": [m[order].tobytes()]}, schema=pa.schema([("dim", pa.int32()), ("lane", pa.int32()), ("tile", pa.int64()), ("ids", pa.binary()), ("matrix", pa.binary())]))
+            return pa.RecordBatch.from_pydict({"dim": [dim], "tile": [number], "ids": [ids[order].tobytes()], "matrix": [narrow(m[order])]}, schema=pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("ids", pa.binary()), ("matrix", pa.binary())]))
 
         for batch in batches:
             ids, dims = (batch.column(k).to_numpy() for k in (0, 1))
@@ -95,6 +109,11 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
     return q[there], ids[at[there]], scores[q[there], at[there]].astype(np.int64)
 
 
+def lane_of(tile: str, lanes: int) -> Column:
+    """A tile's lane: a hash, as numbers of tiles are far from each other."""
+    return F.pmod(F.xxhash64(tile), F.lit(lanes)).cast("int")
+
+
 def merge(lists: DataFrame, keys: list[str], by: Column, k: int) -> DataFrame:
     """The k best of the lists that share ``keys`` and ``by``, as one list."""
     both = lists.groupBy(*keys, by.alias("node")).agg(F.flatten(F.collect_list("found")).alias("found"))
@@ -107,24 +126,27 @@ def top_k(df: DataFrame, queries: DataFrame, k: int, id_column: str, vector: str
     Both sides may be of any size: blocks of queries are sent once to each lane, not broadcast.
     """
     spark = df.sparkSession
-    lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tiles = materialize(pack(whole_numbers(df, id_column, vector, scale), tile_rows, lanes), "tiles")
-    asked = pack(whole_numbers(queries, id_column, vector, scale).repartition(max(1, lanes // 8)), query_rows, 1)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tiles = materialize(pack(whole_numbers(df, id_column, vector, scale), tile_rows), "tiles")
+    count = tiles.count()
+    lanes = max(1, min(parts, count), count // LANE_TILES)
+    tiles = tiles.withColumn("lane", lane_of("tile", lanes))
+    asked = pack(whole_numbers(queries, id_column, vector, scale).repartition(max(1, parts // 8)), query_rows)
     asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("tile").alias("block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
-    met = tiles.hint("shuffle_hash").join(asked, ["dim", "lane"]).select("dim", "tile", "ids", "matrix", "block", "query_ids", "queries")
+    met = tiles.hint("merge").join(asked, ["dim", "lane"]).select("dim", "tile", "ids", "matrix", "block", "query_ids", "queries")
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 dim, tile, block = (batch.column(c)[i].as_py() for c in (0, 1, 4))
-                ids, m, query_ids, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (2, 3, 5, 6))
-                of, found, score = best(q.reshape(len(query_ids), dim), query_ids, m.reshape(len(ids), dim), ids, k)
+                ids, query_ids = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (2, 5))
+                m, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (3, 6))
+                of, found, score = best(wide(q, len(query_ids), dim), query_ids, wide(m, len(ids), dim), ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), block)), pa.array(of.astype(np.int32)), pa.array(query_ids[of]), pa.array(np.full(len(of), tile)), pa.array(-score), pa.array(found)], names=["block", "place", "query_id", "tile", "worse", "vec_id"])
 
     rows = met.mapInArrow(products, "block long, place int, query_id long, tile long, worse long, vec_id long")
     keys = ["block", "place", "query_id"]
     lists = rows.groupBy(*keys, F.col("tile").alias("node")).agg(F.array_sort(F.collect_list(F.struct("worse", "vec_id"))).alias("found"))
-    count = tiles.count()
     # Tiles are numbered task by task, so nodes are found by hashing: about FAN_IN lists meet in each.
     while count > FAN_IN:
         count = -(-count // FAN_IN)

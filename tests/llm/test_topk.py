@@ -60,3 +60,25 @@ def test_scores_stay_exact(scale):
 def test_column_names_do_not_clash(spark):
     df = spark.range(4).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.lit(1).alias("lane"), F.lit(2).alias("tile"))
     assert topk.top_k(df, df.where("vec_id = 0"), 2, "vec_id", "embedding").count() == 2
+
+
+def test_tiles_spread_over_lanes(spark):
+    for tasks, made in ((400, 1), (50, 8)):
+        numbers = spark.range(tasks).select((F.shiftleft("id", 32)).alias("t")).join(spark.range(made)).select((F.col("t") + F.col("id")).alias("tile"))
+        for lanes in (8, 200):
+            sizes = [r["count"] for r in numbers.groupBy(topk.lane_of("tile", lanes).alias("lane")).count().collect()]
+            assert len(sizes) > 0.75 * lanes and max(sizes) < 4 * 400 / lanes + 8
+
+
+def test_more_lanes_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LANE_TILES", 1)
+    rows = [(i, [float(i % 17), float(i % 5)]) for i in range(100)]
+    assert run(spark, rows, tile_rows=5) == brute(rows, lambda i: i % 5 == 0, 5)
+
+
+@pytest.mark.parametrize("top, size", [(0, 1), (-128, 1), (128, 2), (-40000, 4), (2**31, 8), (-(2**62), 8)])
+def test_matrices_are_packed_narrowly(top, size):
+    m = np.array([[1, 2, 3], [top, 0, -1]], np.int64)
+    raw = topk.narrow(m)
+    assert len(raw) == 6 * size and (topk.wide(np.frombuffer(raw, np.uint8), 2, 3) == m).all()
+    assert topk.wide(np.zeros(0, np.uint8), 0, 3).shape == (0, 3) and topk.wide(np.zeros(0, np.uint8), 2, 0).shape == (2, 0)
