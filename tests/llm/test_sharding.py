@@ -29,9 +29,37 @@ def test_nulls_repeats_and_other_columns(odd_docs):
     assert sorted(map(repr, out.select(*odd_docs.columns).collect())) == sorted(map(repr, odd_docs.collect()))
 
 
+def matrix(parts, cells, seed):
+    m = sharding.Matrix(parts, cells, seed)
+    return np.array([m.row(i) for i in range(len(parts))])
+
+
+def test_rows_of_the_matrix_do_not_depend_on_the_order(monkeypatch):
+    rng = np.random.default_rng(0)
+    parts, cells = rng.integers(0, 50, 37), np.zeros(5, np.int64)
+    np.add.at(cells, rng.integers(0, 5, parts.sum()), 1)
+    whole = matrix(parts, cells, 3)
+    assert (whole.sum(1) == parts).all() and (whole.sum(0) == cells).all()
+    m = sharding.Matrix(parts, cells, 3)
+    for i in rng.permutation(37).tolist() + [5, 5, 6]:
+        assert (m.row(i) == whole[i]).all()
+    # What numpy can't draw at once is shared by halves of the cells.
+    monkeypatch.setattr(sharding, "_LARGE", 100)
+    other = matrix(parts, cells, 3)
+    assert (other.sum(1) == parts).all() and (other.sum(0) == cells).all()
+
+
+def test_a_matrix_of_many_parts_is_drawn_row_by_row():
+    parts, cells = np.full(100_000, 1 << 20), np.full(1600, 100_000 * (1 << 20) // 1600)
+    m = sharding.Matrix(parts, cells, 1)
+    rows = [m.row(i) for i in (0, 1, 2, 99_999)]
+    assert all(r.sum() == 1 << 20 for r in rows) and len(m.way) < 20
+    assert abs(np.mean(rows) - 655.36) < 1e-9 and 20 < np.std(rows[0]) < 32
+
+
 def test_matrix_sums_and_means():
     parts, cells = np.array([30, 0, 70, 100]), np.array([50, 100, 50])
-    draws = np.array([sharding.communication_matrix(parts, cells, s) for s in range(2000)])
+    draws = np.array([matrix(parts, cells, s) for s in range(2000)])
     assert (draws.sum(2) == parts).all() and (draws.sum(1) == cells).all()
     want = np.outer(parts, cells) / 200
     assert np.abs(draws.mean(0) - want).max() < 0.3
@@ -54,6 +82,22 @@ def test_large_counts():
     assert abs(draws.mean() - 750_000) < 150 and 300 < draws.std() < 600
 
 
+def test_query_columns_by_plain_reckoning(spark, sf_dir):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op1_sharding(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(docs[r.doc_id]) + 1, zlib.crc32(docs[r.doc_id]), "rows", None) for r in rows)
+    sizes = Counter(r.shard for r in rows)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in sizes.items())
+
+
+def test_names_that_clash(spark):
+    df = spark.range(30).select("id", F.lit("x").alias("shard"), F.lit(2).alias("__at"), F.lit(3).alias("__CELL"), F.lit(4).alias("slot"))
+    out = sharding.shuffle_into_shards(df, 3)
+    assert out.columns == ["id", "__at", "__CELL", "slot", "shard"] and sorted((r["id"], r["__at"], r["__CELL"]) for r in out.collect()) == [(i, 2, 3) for i in range(30)]
+
+
 def test_query_deals_whole_documents_and_digests_what_comes_out(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     passed = []
