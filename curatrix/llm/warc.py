@@ -1,7 +1,8 @@
 """WARC archives compressed record by record with a Zstandard dictionary of their own.
 
 An archive begins with a skippable frame that holds its dictionary, trained from the archive's first
-records; every record follows as a frame of its own, so that a reader can begin at any of them. Of
+records (where they are too few to train on, their beginnings are the dictionary); every record follows
+as a frame of its own, so that a reader can begin at any of them. Of
 equal payloads of MIN_REVISIT bytes or more only one is stored, that of the largest page_id; the
 others are revisit records that refer to it. Which those are is decided on digests alone; texts move
 once, by page, so a payload that a third of the pages share gathers nowhere.
@@ -11,7 +12,8 @@ manifest; readers take listed archives only, so files of lost or repeated attemp
 
 Defined cases: a null html is an empty payload and a null url is left out; a null page_id is kept,
 counts as smaller than any other, and is null again when read; rows that repeat the largest page_id
-of a payload are responses all; an empty table gives no archives. Other columns are not archived.
+of a payload are responses all; an empty table gives no archives. Other columns are not archived. A
+reader holds one archive at a time, compressed, and about 8 MB of payloads, or one larger.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from curatrix.llm.common import materialize, shared_path
 MIN_REVISIT = 1000
 #: Bytes of records that train a dictionary, of a dictionary, and of an archive before compression.
 SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 10, 64 << 20
+#: Of each record, where the records of an archive are too few to train on.
+BEGINNING_BYTES = 512
 # fixed values: names of the formats
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,13 +73,13 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary of the samples, or None where they are too few to learn from."""
+def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary of the samples: trained, or the beginnings of those that are too few for it."""
     total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 10)), samples)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(s[:BEGINNING_BYTES] for s in samples)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def frames(records: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
@@ -87,10 +91,9 @@ def frames(records: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
         if size >= SAMPLE_BYTES:
             break
     words = train(first)
-    if words is not None:
-        held = words.as_bytes()
-        yield SKIPPABLE.to_bytes(4, "little") + len(held).to_bytes(4, "little") + held, 0
-    press = zstandard.ZstdCompressor(level=9, dict_data=words) if words is not None else zstandard.ZstdCompressor(level=9)
+    held = words.as_bytes()
+    yield SKIPPABLE.to_bytes(4, "little") + len(held).to_bytes(4, "little") + held, 0
+    press = zstandard.ZstdCompressor(level=9, dict_data=words)
     for r in first:
         yield press.compress(r), 1
     for r in records:

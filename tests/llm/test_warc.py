@@ -56,6 +56,20 @@ def test_form_of_an_archive(spark):
     assert first.unused_data.startswith(b"\x28\xb5\x2f\xfd")
 
 
+def test_archives_of_few_records_have_a_dictionary_too(spark):
+    manifest = warc.write_archives(pages(spark).where("page_id in (100, 2, 3)").coalesce(1), archive_bytes=100)
+    paths = [r.path.removeprefix("file://") for r in manifest.collect()]
+    assert len(paths) == 3
+    for path in paths:
+        data = open(path, "rb").read()
+        n = int.from_bytes(data[4:8], "little")
+        assert int.from_bytes(data[:4], "little") == 0x184D2A5D and 8 < n <= warc.BEGINNING_BYTES
+        with pytest.raises(zstandard.ZstdError):
+            zstandard.ZstdDecompressor().decompressobj().decompress(data[8 + n :])
+        assert len(list(warc.read_archive(memoryview(data)))) == 1
+    assert warc.read_archives(spark, manifest).count() == 3
+
+
 def test_unlisted_files_do_not_count_and_damage_is_seen(spark, tmp_path):
     manifest = warc.write_archives(pages(spark))
     n = warc.read_archives(spark, manifest).count()
