@@ -7,14 +7,18 @@ copied: there is no cut-off that could drop a passage. A second pass looks the s
 hits on one item near one diagonal make a window, and the item is aligned with the words of the window:
 1 for an equal word, -1 for another, -1 for a gap. The score is the best local alignment's part of the
 item's own score; a text is contaminated from MIN_SCORE. Windows that hold too few of the item's words
-for that score are not aligned. Hits are taken up about _HITS at a time, whole texts together.
+for that score are not aligned. What is left of a window before and behind a passage, if it has hits,
+is aligned again, so an item that a text holds several times is found each time. Hits are taken up about
+_HITS at a time, whole texts together.
 
 Both passes are maps over the texts. Test items are broadcast in blocks of about ITEM_BYTES, one pass
 over the texts for each block, so a test set of any size works.
 
 Defined cases: words are runs between white space, lower-cased in ASCII; items without words match
 nothing, shorter ones than a seed have themselves as a seed; null texts are empty; equal items are
-found each; repeated rows are scanned each. Rows keep their columns; ``leaks`` must not be among them.
+found each; repeated rows are scanned each; passages of one item don't overlap, the better one of two
+that would is kept. Rows keep their other columns; ``leaks`` of the input is replaced. Words are compared
+by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -145,7 +149,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def find(items: Items, seeds: dict, words: Words, min_score: float) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, end) of what is contaminated: the best place for each pair."""
+    """(text, item, score, first word, end) of what is contaminated."""
     hits, load = [], np.zeros(len(words.ptr) - 1, np.int64)
     for n, (keys, item, place) in seeds.items():
         h, at, ptr = words.ngrams(n, short=False)
@@ -166,45 +170,70 @@ def find(items: Items, seeds: dict, words: Words, min_score: float) -> list[tupl
 
 def _find_in(items: Items, hits: list, low_doc: int, high_doc: int, words: Words, min_score: float) -> list[tuple[int, int, float, int, int]]:
     """What ``find`` gives, for the texts from ``low_doc`` to before ``high_doc``."""
-    docs, which, shift = [], [], []
+    docs, which, shift, place_in = [], [], [], []
     for doc, at, low, many, item, place in hits:
         a, b = np.searchsorted(doc, [low_doc, high_doc])
         doc, at, low, many = doc[a:b], at[a:b], low[a:b], many[a:b]
         entry = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
         docs.append(np.repeat(doc, many))
         which.append(item[entry])
-        shift.append(np.repeat(at, many) - place[entry])
-    docs, which, shift = (np.concatenate(x) for x in (docs, which, shift))
-    if not len(docs):
-        return []
-    order = np.lexsort((shift, which, docs))
-    docs, which, shift = docs[order], which[order], shift[order]
+        place_in.append(np.repeat(at, many))
+        shift.append(place_in[-1] - place[entry])
+    # Each hit may be aligned with the words from ``low`` to before ``high`` of its text.
+    hit = [np.concatenate(x) for x in (docs, which, shift, place_in)]
+    hit += [np.zeros(len(hit[0]), np.int64), np.diff(words.ptr)[hit[0]]]
+    found: list[tuple[int, int, float, int, int]] = []
+    while len(hit[0]):
+        order = np.lexsort((hit[2], hit[4], hit[1], hit[0]))
+        hit = [x[order] for x in hit]
+        window, passages = _align_hits(items, hit, (low_doc, high_doc), words, min_score)
+        good = np.flatnonzero(passages[:, 0] > 0)
+        found += [(int(d), int(i), float(x[0]), int(x[1]), int(x[2])) for (d, i), x in zip(np.stack([window[0], window[1]], 1)[good].tolist(), passages[good].tolist(), strict=True)]
+        of = passages[window[2]]  # the passage of each hit's window
+        at, low, high = hit[3], hit[4], hit[5]
+        before, behind = (of[:, 0] > 0) & (at < of[:, 1]), (of[:, 0] > 0) & (at >= of[:, 2])
+        low, high = np.where(behind, of[:, 2].astype(np.int64), low), np.where(before, of[:, 1].astype(np.int64), high)
+        rest = before | behind
+        hit = [x[rest] for x in (*hit[:4], low, high)]
+    return _apart(found)
+
+
+def _align_hits(items: Items, hit: list[np.ndarray], part: tuple[int, int], words: Words, min_score: float) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Windows of sorted hits (text and item of each, window of each hit), and (score, first word, end)
+    of each window's passage, all 0 where there is none.
+    """
+    docs, which, shift, _, low, high = hit
     size = (items.ptr[1:] - items.ptr[:-1])[which]
     new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (which[1:] != which[:-1]) | (shift[1:] - shift[:-1] > size[1:])
+    new[1:] = (docs[1:] != docs[:-1]) | (which[1:] != which[:-1]) | (low[1:] != low[:-1]) | (shift[1:] - shift[:-1] > size[1:])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(docs)]]) - 1
-    slack = size[first] // 2 + 2
-    begin = np.maximum(shift[first] - slack, 0) + words.ptr[docs[first]]
-    stop = np.minimum(shift[last] + size[first] + slack + words.ptr[docs[first]], words.ptr[docs[first] + 1])
     docs, which, size = docs[first], which[first], size[first]
-    a, b = words.ptr[low_doc], words.ptr[high_doc]
-    able = items.shared(which, words.hashes[a:b], begin - a, stop - a) >= min_score * size - 1e-6
-    docs, which, size, begin, stop = docs[able], which[able], size[able], begin[able], stop[able]
+    slack, base = size // 2 + 2, words.ptr[docs]
+    begin, stop = np.maximum(shift[first] - slack, low[first]) + base, np.minimum(shift[last] + size + slack, high[first]) + base
+    out = np.zeros((len(first), 3))
+    a, b = words.ptr[list(part)]
+    able = np.flatnonzero(items.shared(which, words.hashes[a:b], begin - a, stop - a) >= min_score * size - 1e-6)
     h = words.hashes
-    q, w = [items.words(i) for i in which.tolist()], [h[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+    q, w = [items.words(i) for i in which[able].tolist()], [h[x:y] for x, y in zip(begin[able].tolist(), stop[able].tolist(), strict=True)]
     best, end = align(q, w)
-    good = np.flatnonzero(best >= min_score * size - 1e-6)
+    good = np.flatnonzero(best >= min_score * size[able] - 1e-6)
     # The alignment read backwards from its end gives its beginning.
     _, back = align([q[i][::-1] for i in good], [w[i][: end[i] + 1][::-1] for i in good])
-    out: dict[tuple[int, int], tuple] = {}
-    for k, i in enumerate(good.tolist()):
-        doc, item, score = int(docs[i]), int(which[i]), float(best[i] / size[i])
-        stopped = int(begin[i] + end[i] + 1 - words.ptr[doc])
-        found = (doc, item, score, stopped - 1 - int(back[k]), stopped)
-        if (doc, item) not in out or score > out[doc, item][2]:
-            out[doc, item] = found
-    return list(out.values())
+    at = able[good]
+    stopped = begin[at] + end[good] + 1 - base[at]
+    out[at] = np.stack([best[good] / size[at], stopped - 1 - back, stopped], axis=1)
+    return (docs, which, np.cumsum(new) - 1), out
+
+
+def _apart(found: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float, int, int]]:
+    """Passages without those that overlap a better one of the same text and item."""
+    kept: dict[tuple[int, int], list[tuple]] = {}
+    for x in sorted(found, key=lambda x: (-x[2], x)):
+        mine = kept.setdefault(x[:2], [])
+        if all(x[4] <= y[3] or x[3] >= y[4] for y in mine):
+            mine.append(x)
+    return [x for mine in kept.values() for x in sorted(mine, key=lambda x: x[3])]
 
 
 def scan(df: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, min_score: float = MIN_SCORE, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -213,7 +242,7 @@ def scan(df: DataFrame, text: str, items: DataFrame, item_id: str, item_text: st
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where(F.octet_length("text") > 0)
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // item_bytes))
-    out = df.withColumn("leaks", F.array().cast(_LEAKS))
+    out = df.drop("leaks").withColumn("leaks", F.array().cast(_LEAKS))
     for part in range(parts):
         rows = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).orderBy("id", "text").collect()
         block = Items([r["id"] for r in rows], [r["text"] for r in rows])

@@ -65,7 +65,7 @@ def test_a_passage_in_many_documents_is_still_found(spark):
     rows = [(i, docs[i % 100][1] + " " + " ".join(items[0])) for i in range(300)]
     tests = spark.createDataFrame([(0, " ".join(items[0]))], "item_id long, text string")
     found = d.scan(spark.createDataFrame(rows, "doc_id long, text string"), "text", tests, "item_id", "text")
-    assert found.where("size(leaks) = 1").count() == 300
+    assert found.where("array_max(transform(leaks, x -> x.score)) = 1").count() == 300
 
 
 def test_odd_rows(spark, odd_docs):
@@ -111,3 +111,28 @@ def test_no_window_that_reaches_the_score_is_left_out(monkeypatch):
         monkeypatch.setattr(d.Items, "shared", lambda self, which, *_: np.full(len(which), 10**6))
         assert sorted(d.find(items, seeds, words, min_score)) == sorted(found)
         monkeypatch.undo()
+
+
+def test_an_item_is_found_as_often_as_a_text_holds_it(spark):
+    rng = random.Random(8)
+    make = lambda n, of: [f"{of}{rng.randrange(5000)}" for _ in range(n)]
+    items = [make(30, "w"), make(12, "v")]
+    docs, want = [], []
+    for i in range(40):
+        text, places = make(rng.randint(0, 60), "x"), []
+        for _ in range(rng.randint(0, 4)):  # some right behind each other
+            k = rng.randrange(2)
+            places.append((i, k, len(text), len(text) + len(items[k])))
+            text += items[k] + make(rng.choice([0, 0, 3, 40, 200]), "x")
+        docs.append((i, " ".join(text)))
+        want += places
+    tests, df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = d.scan(df.withColumn("LEAKS", F.lit(1)), "text", tests, "item_id", "text")
+    assert found.columns == ["doc_id", "text", "leaks"]
+    got = found.select("doc_id", F.explode("leaks").alias("l")).collect()
+    assert sorted((r.doc_id, r.l.item_id, r.l.start, r.l.end) for r in got) == sorted(want) and all(r.l.score == 1 for r in got)
+
+
+def test_of_passages_that_overlap_the_better_stays():
+    rows = [(0, 1, 0.5, 0, 10), (0, 1, 0.9, 8, 20), (0, 1, 0.4, 20, 30), (0, 2, 0.3, 0, 10), (1, 1, 0.3, 0, 10)]
+    assert sorted(d._apart(rows)) == sorted(rows[1:])
