@@ -19,7 +19,8 @@ found by counting keys in ranges, narrowed step by step: no task or driver sorts
 Defined cases: null and empty texts have importance 1; rows whose keys tie with the k-th are kept
 too, so repeated rows share their fate; a row with several labels is good if all of them are; without
 good labels both models are equal, and the noise alone decides; an empty table gives no rows. Rows
-keep their columns; ``log_ratio``, ``key`` and ``selected`` must not be among them.
+keep their other columns; ``log_ratio``, ``key`` and ``selected`` of the input are replaced. N-grams that
+share one of the BUCKETS of their stream count as one.
 """
 
 from __future__ import annotations
@@ -86,12 +87,13 @@ def labelled_sample(labels: DataFrame, id_column: str, label: str, most: int, ke
 
 def train(df: DataFrame, text: str, id_column: str, sample: DataFrame) -> tuple[np.ndarray, float]:
     """Log ratio of both models for each bucket, and the share of good rows among labelled ones."""
-    known = F.broadcast(sample.select(F.col("id").alias("__id"), (F.col("good") == 1).cast("int").alias("__good")))
-    rows = df.select(id_column, text).join(known, F.col(id_column) == F.col("__id"), "left").select("__good", text)
+    # MAX_LABELLED ids and those that tie with the last.
+    known = F.broadcast(sample.select("id", (F.col("good") == 1).cast("int").alias("good")))
+    rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("body")).join(known, "id", "left").select("good", "body")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 2 * BUCKETS + 2), np.int64)  # raw, target; the last two count labelled and good rows
-        for block in blocks(batches, text):
+        for block in blocks(batches, "body"):
             good = block.column(0).to_numpy(zero_copy_only=False)
             bucket, of = features(block.column(1))
             n[0, :-2] += np.bincount(bucket, minlength=2 * BUCKETS)
@@ -117,6 +119,7 @@ def train(df: DataFrame, text: str, id_column: str, sample: DataFrame) -> tuple[
 
 def score(df: DataFrame, text: str, ratio: np.ndarray) -> DataFrame:
     """``df`` with ``log_ratio``, the log of each row's importance."""
+    df = df.drop("log_ratio")
     schema = T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())])
     known = df.sparkSession.sparkContext.broadcast(ratio)
 
@@ -140,6 +143,7 @@ def resample(df: DataFrame, text: str, id_column: str, labels: DataFrame, label:
 
     ``carry`` names the columns of ``df`` that the result has: all, unless given.
     """
+    df = df.drop("log_ratio", "key", "selected")
     sample = materialize(labelled_sample(labels, id_column, label, most), "labelled")
     ratio, share = train(df, text, id_column, sample)
     scored = score(df, text, ratio)
