@@ -10,7 +10,7 @@ on windows of labelled texts under their text's label.
 Training takes MAX_TRAIN texts of each label at most, chosen by a hash of their id, and all windows of
 each. They are encoded once as blocks of buckets, a table; each step of training sums loss and gradient
 over the blocks in FIT_TASKS tasks, and the driver holds vectors and gradients only, whose size is
-fixed, whatever the texts' lengths. Scores cover all texts, whole.
+fixed, whatever the texts' lengths and the number of tasks. Scores cover all texts, whole.
 
 Defined cases: a null or empty text is one window without words and gets the score of the softmax's
 bias; a text with several labels is toxic if any is; of rows that repeat a labelled id the least text
@@ -33,7 +33,7 @@ from curatrix.llm.words import Words, blocks, span_hashes
 
 WINDOW, BUCKETS, DIMENSIONS = 40, 1 << 17, 4
 MAX_TRAIN = 3000
-FIT_TASKS, FIT_BYTES = 8, 4 << 20
+FIT_TASKS, FIT_BYTES, _CHUNK = 8, 4 << 20, 1 << 15
 LEAST = 20  # a window of fewer distinct words counts as so many
 STEPS, DECAY, SHRINK, GAIN = 25, 2.5e-6, 100.0, 20.0
 #: A clean text is clean in each of its windows, and is judged by the worst: they weigh so much more.
@@ -100,7 +100,7 @@ def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             length *= 0.3
         y = slope_after - slope
         if (curve := y @ (length * d)) > 1e-12:
-            moves = [*moves, (length * d, y, 1 / curve)][-keep:]
+            moves = [*moves, ((length * d).astype(np.float32), y.astype(np.float32), 1 / curve)][-keep:]
         x, value, slope = x + length * d, after, slope_after
     return x
 
@@ -171,9 +171,10 @@ def encode_texts(rows: DataFrame, clean_weight: float) -> DataFrame:
 
 
 def _summed(examples: DataFrame, each: Callable[[Block], tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:
-    """The sums of a value and of an array over all blocks, task by task.
+    """The sums of a value and of an array over all blocks.
 
-    The driver gets FIT_TASKS arrays at most; between tasks and driver 32 bits of a number do.
+    Tasks' arrays are added up in chunks by other tasks, so the driver gets one array, in pieces,
+    however many tasks there are. Between tasks 32 bits of a number are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +184,18 @@ def _summed(examples: DataFrame, each: Callable[[Block], tuple[float, np.ndarray
                 more, found = each(Block(batch, i))
                 value, total = value + more, found if total is None else total + found
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["value", "total"])
+            raw = [total[low : low + _CHUNK].astype(np.float32).tobytes() for low in range(0, len(total), _CHUNK)]
+            values = [value] + [0.0] * (len(raw) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int32()), pa.array(values), pa.array(raw, pa.binary())], names=["chunk", "value", "total"])
 
-    value, total = 0.0, np.zeros(1)
-    for r in examples.coalesce(FIT_TASKS).mapInArrow(run, "value double, total binary").collect():
-        value, total = value + r["value"], total + np.frombuffer(r["total"], np.float32)
-    return value, total
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in parts["total"])
+        return pa.table({"chunk": parts["chunk"][:1], "value": [sum(parts["value"].to_pylist())], "total": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "chunk int, value double, total binary"
+    rows = examples.coalesce(FIT_TASKS).mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    rows.sort(key=lambda r: r["chunk"])
+    return sum(r["value"] for r in rows), np.concatenate([np.zeros(0), *(np.frombuffer(r["total"], np.float32) for r in rows)])
 
 
 def fit(examples: DataFrame, share: float, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -215,7 +222,8 @@ def fit(examples: DataFrame, share: float, seed: int = 7) -> tuple[np.ndarray, f
         return vectors, x[size:-2].reshape(DIMENSIONS, 2), x[-2:]
 
     def with_model(x: np.ndarray, call: Callable):  # noqa: ANN202
-        shared = context.broadcast(parts(x))
+        vectors, softmax, bias = parts(x)
+        shared = context.broadcast((vectors.astype(np.float32), softmax, bias))
         try:
             return call(shared)
         finally:
