@@ -44,28 +44,44 @@ def _best() -> Column:
     return F.struct((-t.quality_rank(F.col("ext"))).alias("a"), (-info_score()).alias("b"), F.col("created").alias("c"), F.col("id").alias("id"))
 
 
-def _groups(entries: DataFrame, key: str, kind: int) -> DataFrame:
+def _heads(entries: DataFrame, key: str, kind: int) -> DataFrame:
+    """Groups of one key: its first id and its keeper. Songs are groups of two paths at least."""
     heads = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path_key").alias("paths"), F.min("id").alias("first"), F.min(_best()).alias("best"))
     good = (F.col("n") > 1) & (F.lit(kind == 1) | (F.col("paths") > 1))
-    heads = heads.where(good).select(key, F.lit(kind).alias("pass"), "first", F.col("best.id").alias("keeper"))
-    # As a table, so that the join shuffles two inputs and a hot group is split.
-    return entries.join(materialize(heads, "heads"), key)
+    return heads.where(good).select(key, F.lit(kind).alias("pass"), "first", F.col("best.id").alias("keeper"))
 
 
-def duplicates(entries: DataFrame) -> DataFrame:
-    """One row per member of each group: group, kind, role, keeper, place (0: keeper) and the entry.
+def members(entries: DataFrame) -> DataFrame:
+    """Members of all groups: pass and first (which tell the group), keeper, and the entry's columns.
 
     Entries of one path, case and slashes aside, are one file; of the rest, those of one normalized
-    file name are one song. Groups are numbered by kind and then by their first id.
+    file name are one song.
+    """
+    artist, title = t.parse_name(t.split_path(F.col("path"))[1])
+    keyed = entries.withColumn("path_key", t.path_key(F.col("path"))).withColumn("song_artist", artist).withColumn("song_title", title)
+    keyed = materialize(keyed.withColumn("song_key", t.norm_key(F.col("song_artist"), F.col("song_title"))).drop("song_artist"), "entries")
+    one_file = _heads(keyed, "path_key", 1)
+    rest = keyed.where("song_title <> ''").join(one_file.select("path_key"), "path_key", "left_anti")
+    # A table, so that joins with it shuffle two inputs and a hot group is split.
+    heads = materialize(one_file.unionByName(_heads(rest, "song_key", 2), allowMissingColumns=True), "heads")
+    files, songs = heads.where("pass = 1").drop("song_key"), heads.where("pass = 2").drop("path_key")
+    rest = keyed.where("song_title <> ''").join(files.select("path_key"), "path_key", "left_anti")
+    return keyed.join(files, "path_key").unionByName(rest.join(songs, "song_key")).select("pass", "first", "keeper", *entries.columns)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row, groups and extras, of ``members``."""
+    return rows.agg(F.count_distinct("pass", "first").alias("groups"), F.count_if(F.col("id") != F.col("keeper")).alias("extras"))
+
+
+def duplicates(entries: DataFrame) -> DataFrame:
+    """One row per member of each group: group, kind, role, keeper, order (least: keeper) and the entry.
+
+    Groups (see ``members``) are numbered by kind and then by their first id.
     """
-    name = t.split_path(F.col("path"))[1]
-    artist, title = t.parse_name(name)
-    keyed = materialize(entries.withColumn("path_key", t.path_key(F.col("path"))).withColumn("song_title", title).withColumn("song_key", t.norm_key(artist, title)), "entries")
-    same_file = _groups(keyed, "path_key", 1)
-    rest = keyed.join(same_file.select("id"), "id", "left_anti").where("song_title <> ''")
-    rows = materialize(same_file.unionByName(_groups(rest, "song_key", 2)), "members")
-    heads = number_rows(rows.select("pass", "first", "keeper").distinct(), ["pass", "first"], "group")
-    out = rows.join(heads, ["pass", "first", "keeper"])
+    rows = materialize(members(entries), "members")
+    heads = number_rows(rows.select("pass", "first").distinct(), ["pass", "first"], "group")
+    out = rows.join(heads, ["pass", "first"])
     kind = F.when(F.col("pass") == 1, "same-file").otherwise("same-song")
     role = F.when(F.col("id") == F.col("keeper"), "keep").otherwise("remove")
     return out.select("group", kind.alias("kind"), role.alias("role"), "keeper", _best().alias("order"), *entries.columns)

@@ -45,82 +45,109 @@ def keeper_order(ext: Column, dur: Column, size: Column, ord_: Column) -> Column
     return F.struct((-t.quality_rank(ext)).alias("a"), (-F.coalesce(dur, F.lit(0.0))).alias("b"), (-size).alias("c"), ord_.alias("ord"))
 
 
+def _recurring(files: DataFrame) -> DataFrame:
+    """``size``, ``prefix`` of files that share both with another one."""
+    pairs = files.select("size", prefix_hash(F.col("content")).alias("prefix"))
+    return pairs.groupBy("size", "prefix").count().where("count > 1").select("size", "prefix", F.lit(True).alias("recurs"))
+
+
 def with_hashes(files: DataFrame, strategy: HashStrategy = HashStrategy()) -> DataFrame:  # noqa: B008
     """``files`` (with ``content``) with ``hash`` in its place: contents never leave the scan's tasks.
 
-    With the gate, only files whose size and prefix recur are hashed whole, and others have a null.
-    The recurring pairs are broadcast if they are GATE_KEYS at most; else all files are hashed, which
-    gives the same groups.
+    With the gate, only files whose size and prefix recur have a hash, and others a null. The recurring
+    pairs are broadcast if they are GATE_KEYS at most, so that others aren't even hashed; beyond that
+    all are hashed where they are read, and hashes of others dropped by a join without contents.
     """
     whole = content_hash(F.col("content"), strategy.algorithm)
-    if strategy.prefix_gate:
-        pairs = files.select("size", prefix_hash(F.col("content")).alias("__prefix"))
-        twice = pairs.groupBy("size", "__prefix").count().where("count > 1").select("size", "__prefix", F.lit(True).alias("__twice"))
-        twice = materialize(twice, "gate")
-        if twice.count() <= GATE_KEYS:
-            marked = files.withColumn("__prefix", prefix_hash(F.col("content"))).join(F.broadcast(twice), ["size", "__prefix"], "left")
-            return marked.withColumn("hash", F.when(F.col("__twice"), whole)).drop("content", "__prefix", "__twice")
-    return files.withColumn("hash", whole).drop("content")
-
-
-def bytes_hashed(files: DataFrame) -> DataFrame:
-    """How many bytes whole hashes read under the size gate."""
+    if not strategy.prefix_gate:
+        return files.withColumn("hash", whole).drop("content")
+    columns = [*[c for c in files.columns if c != "content"], "hash"]
+    twice = materialize(_recurring(files), "gate")
+    marked = files.withColumn("prefix", prefix_hash(F.col("content")))
+    if twice.count() <= GATE_KEYS:
+        return marked.join(F.broadcast(twice), ["size", "prefix"], "left").withColumn("hash", F.when(F.col("recurs"), whole)).select(*columns)
+    hashed = marked.withColumn("hash", whole).drop("content")
+    return hashed.join(twice, ["size", "prefix"], "left").withColumn("hash", F.when(F.col("recurs"), F.col("hash"))).select(*columns)
+
+
+def bytes_hashed(files: DataFrame, strategy: HashStrategy = HashStrategy()) -> DataFrame:  # noqa: B008
+    """One row: how many bytes of files that share their size a strategy hashes.
+
+    Without the gate these are all their bytes; with it, their first 64 KiB, and once more all bytes of
+    those whose prefix recurs too.
+    """
     shared = files.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return shared.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).cast("long").alias("bytes"))
+    if not strategy.prefix_gate:
+        return shared.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).cast("long").alias("bytes"))
+    first = shared.select((F.least("size", F.lit(PREFIX_BYTES)) * F.col("n")).alias("read"))
+    pairs = files.select("size", prefix_hash(F.col("content")).alias("prefix")).groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return first.unionAll(pairs.select((F.col("size") * F.col("n")).alias("read"))).agg(F.coalesce(F.sum("read"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def _grouped(files: DataFrame, keys: list[str], kind: int, g1: Column) -> DataFrame:
-    """Members of groups of more than one: kind, g1, g2, keeper's ord, and the files' columns."""
+def _heads(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of more than one file: their keys, first file (g2) and keeper."""
     order = keeper_order(F.col("ext"), F.col("dur"), F.col("size"), F.col("ord"))
     heads = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("g2"), F.min(order).alias("best")).where("n > 1")
-    heads = heads.select(*keys, F.lit(kind).alias("pass"), g1.alias("g1"), "g2", F.col("best.ord").alias("keeper"))
-    # As a table, so that the join shuffles two inputs and a hot group is split.
-    return files.join(materialize(heads, "heads"), keys)
+    return heads.select(*keys, "g2", F.col("best.ord").alias("keeper"))
 
 
-def exact_groups(files: DataFrame) -> DataFrame:
-    """Files (with ``hash``) of equal size and content, group by group."""
+def _exact_heads(files: DataFrame) -> DataFrame:
+    """Groups come in the order of the first file of their size (g1), then of their own."""
     first = files.groupBy("size").agg(F.min("ord").alias("g1"))
-    found = _grouped(files.where("hash IS NOT NULL"), ["size", "hash"], 1, F.lit(None).cast("long"))
-    return found.drop("g1").join(first, "size")
+    return _heads(files.where("hash IS NOT NULL"), ["size", "hash"]).join(first, "size").withColumn("pass", F.lit(1))
+
+
+def _song_heads(files: DataFrame) -> DataFrame:
+    return _heads(files.where("title <> ''"), ["key"]).withColumn("g1", F.col("g2")).withColumn("pass", F.lit(2))
+
+
+# Heads are tables, so that joins with them shuffle two inputs and a hot group is split.
+
+
+def exact_groups(files: DataFrame) -> DataFrame:
+    """Files (with ``hash``) of equal size and content, with their group: pass, g1, g2, keeper."""
+    return files.join(materialize(_exact_heads(files), "heads"), ["size", "hash"])
 
 
 def song_groups(files: DataFrame) -> DataFrame:
-    """Files with a title and one normalized key."""
-    return _grouped(files.where("title <> ''"), ["key"], 2, F.col("g2"))
+    """Files with a title and one normalized key, with their group."""
+    return files.where("title <> ''").join(materialize(_song_heads(files), "heads"), "key")
 
 
-def duplicates(files: DataFrame, mode: str = "both", strict: bool = False) -> DataFrame:
-    """One row per member of each group: group, kind, role, and the file's columns.
+def members(files: DataFrame, mode: str = "both", strict: bool = False) -> DataFrame:
+    """Members of all groups: pass, g1, g2 (which tell the group), keeper, and the files' columns.
 
     ``files``: ord, path, artist, title, ext, dur, size, hash, key. Exact groups come first, then
     same-item ones without the extras of the first pass; a group left without extras goes. A file may
     be an extra in the first pass and a keeper in the second, unless ``strict``.
     """
-    passes = []
     files = materialize(files.drop("content"), "files")
-    exact = exact_groups(files)
-    if mode in ("exact", "both"):
-        passes.append(exact)
-    if mode in ("song", "both"):
-        seen = exact.where("ord <> keeper").select("ord") if mode == "both" else None
-        pool = files if seen is None or not strict else files.join(seen, "ord", "left_anti")
-        songs = song_groups(pool)
-        if seen is not None:
-            fresh = songs.where("ord <> keeper").join(seen, "ord", "left_anti")
-            kept = songs.where("ord = keeper").join(fresh.select("g1").distinct(), "g1", "left_semi")
-            songs = kept.unionByName(fresh)
-        passes.append(songs)
     columns = ["pass", "g1", "g2", "keeper", *[c for c in files.columns if c not in ("hash", "key")]]
-    rows = passes[0].select(*columns)
-    for more in passes[1:]:
-        rows = rows.unionByName(more.select(*columns))
-    rows = materialize(rows, "members")
+    if mode == "exact":
+        return exact_groups(files).select(*columns)
+    if mode == "song":
+        return song_groups(files).select(*columns)
+    if strict:
+        exact = exact_groups(files)
+        songs = song_groups(files.join(exact.where("ord <> keeper").select("ord"), "ord", "left_anti"))
+    else:
+        heads = materialize(_exact_heads(files).unionByName(_song_heads(files), allowMissingColumns=True), "heads")
+        exact = files.join(heads.where("pass = 1").drop("key"), ["size", "hash"])
+        songs = files.where("title <> ''").join(heads.where("pass = 2").drop("size", "hash"), "key")
+    seen = exact.where("ord <> keeper").select("ord")
+    fresh = songs.where("ord <> keeper").join(seen, "ord", "left_anti")
+    kept = songs.where("ord = keeper").join(fresh.select("g1").distinct(), "g1", "left_semi")
+    return exact.select(*columns).unionByName(kept.select(*columns)).unionByName(fresh.select(*columns))
+
+
+def duplicates(files: DataFrame, mode: str = "both", strict: bool = False) -> DataFrame:
+    """One row per member of each group: group, kind, role, and the file's columns (see ``members``)."""
+    rows = materialize(members(files, mode, strict), "members")
     heads = number_rows(rows.select("pass", "g1", "g2").distinct(), ["pass", "g1", "g2"], "group")
     out = rows.join(heads, ["pass", "g1", "g2"])
     kind = F.when(F.col("pass") == 1, "exact").otherwise("same-song")
     role = F.when(F.col("ord") == F.col("keeper"), "keep").otherwise("duplicate")
-    return out.select("group", kind.alias("kind"), role.alias("role"), *[c for c in columns if c not in ("pass", "g1", "g2", "keeper")])
+    return out.select("group", kind.alias("kind"), role.alias("role"), *[c for c in rows.columns if c not in ("pass", "g1", "g2", "keeper")])
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -131,8 +158,10 @@ def report(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row: groups and extras."""
-    return rows.agg(F.count_distinct("group").alias("groups"), F.count_if(F.col("role") != "keep").alias("extras"))
+    """One row, groups and extras, of ``duplicates`` or, cheaper, of ``members``."""
+    if "group" in rows.columns:
+        return rows.agg(F.count_distinct("group").alias("groups"), F.count_if(F.col("role") != "keep").alias("extras"))
+    return rows.agg(F.count_distinct("pass", "g1", "g2").alias("groups"), F.count_if(F.col("ord") != F.col("keeper")).alias("extras"))
 
 
 def selected(rows: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -62,12 +62,13 @@ def add_suffixes(plan: DataFrame) -> DataFrame:
     ``old`` by many tasks; the others' windows are small.
     """
     rows = materialize(plan.withColumn("__key", F.lower("new")).withColumn("__at", F.monotonically_increasing_id()), "plan")
-    hot = materialize(rows.where("new <> ''").groupBy("__key").count().where(F.col("count") > HOT_NAMES).select("__key"), "hot")
+    hot = rows.where("new <> ''").groupBy("__key").count().where(F.col("count") > HOT_NAMES).select("__key")
     # Names left to a person form no group: their window's second key keeps them apart.
     window = Window.partitionBy("__key", F.when(F.col("new") == "", F.col("old"))).orderBy("old")
-    if hot.limit(1).count() == 0:
+    if not hot.take(1):
         numbered = rows.withColumn("__n", F.row_number().over(window))
     else:
+        hot = materialize(hot, "hot")
         few = rows.join(hot, "__key", "left_anti").withColumn("__n", F.row_number().over(window))
         many = materialize(number_rows(rows.join(hot, "__key", "left_semi"), ["__key", "old", "__at"], "__number"), "hot")
         first = materialize(many.groupBy("__key").agg(F.min("__number").alias("__first")), "hot")

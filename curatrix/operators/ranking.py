@@ -12,9 +12,9 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name``, 1, 2, ... by ``order``, which must be a total order.
 
     Rows are cut into ranges by order; each range is numbered for itself, and a count per range (as
-    many numbers as there are shuffle partitions) gives what to add. ``df`` is computed once.
+    many numbers as there are shuffle partitions) gives what to add. ``df`` is computed twice, once for
+    the ranges' bounds, so it should be cheap to read, as from a table.
     """
-    df = materialize(df, "ranked")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = materialize(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     each = cut.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))

@@ -253,9 +253,10 @@ def q19_prefix_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(gated).select("ord", "size", "hash", "g1", "g2", "keeper")
 
 
-@query("WITH s AS (SELECT n_chars AS size, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT CAST(coalesce(sum(size * n), 0) AS BIGINT) AS bytes FROM s")
+@query("WITH s AS (SELECT n_chars AS size, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1), p AS (SELECT n_chars AS size, count(*) AS n FROM documents GROUP BY n_chars, encode(text)[1:65536] HAVING count(*) > 1) SELECT (SELECT CAST(coalesce(sum(size * n), 0) AS BIGINT) FROM s) AS whole, (SELECT CAST(coalesce(sum(least(size, 65536) * n), 0) AS BIGINT) FROM s) + (SELECT CAST(coalesce(sum(size * n), 0) AS BIGINT) FROM p) AS gated")
 def q19b_bytes_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.bytes_hashed(src.files(spark, sf_dir))
+    whole, gated = (dedup.bytes_hashed(src.files(spark, sf_dir), dedup.HashStrategy(prefix_gate=g)).withColumnRenamed("bytes", n) for n, g in (("whole", False), ("gated", True)))
+    return whole.unionByName(gated, allowMissingColumns=True).agg(F.max("whole").alias("whole"), F.max("gated").alias("gated"))
 
 
 @query(f"WITH {BOTH_SQL} SELECT ord, key, k1 AS g1, first_value(ord) OVER (PARTITION BY key ORDER BY kn) AS keeper FROM keyed WHERE m > 1")
@@ -281,7 +282,7 @@ def q22_dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BOTH_SQL} SELECT count(DISTINCT grp) AS groups, count(*) FILTER (rn > 1) AS extras FROM dups")
 def q23_dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.summary(_dups(spark, sf_dir))
+    return dedup.summary(dedup.members(_hashed(spark, sf_dir)))
 
 
 @query(f"WITH {BOTH_SQL} SELECT grp AS \"group\", ord, path FROM dups WHERE rn > 1 AND ord IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -385,8 +386,8 @@ def q31_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _health_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: aggregates of one row each, brought together by name."""
     plan = naming.plan_counts(_plan(spark, sf_dir)).select(F.col("to_rename").alias("rename_issues"), F.col("manual").alias("manual_review"))
-    dups = dedup.summary(_dups(spark, sf_dir)).select(F.col("groups").alias("file_groups"), F.col("extras").alias("file_extras"))
-    coll = dedup.summary(_coll_dups(spark, sf_dir)).select(F.col("groups").alias("collection_groups"), F.col("extras").alias("collection_extras"))
+    dups = dedup.summary(dedup.members(_hashed(spark, sf_dir))).select(F.col("groups").alias("file_groups"), F.col("extras").alias("file_extras"))
+    coll = collection.summary(collection.members(_entries(spark, sf_dir))).select(F.col("groups").alias("collection_groups"), F.col("extras").alias("collection_extras"))
     gone = collection.missing(_entries(spark, sf_dir), _disk(spark, sf_dir)).agg(F.count(F.lit(1)).alias("missing_files"))
     rows = plan
     for part in (dups, coll, gone):
