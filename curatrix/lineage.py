@@ -13,13 +13,19 @@ _made: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session that names none (a local test) gets a temporary folder of this machine.
+    Only a local session that names none (a test) gets a temporary folder of this machine; on a cluster
+    that is an error, for executors couldn't read it.
     """
     context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = context.getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="curatrix-")
+        if current.isDefined():
+            found = current.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            found = tempfile.mkdtemp(prefix="curatrix-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found

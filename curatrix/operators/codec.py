@@ -1,7 +1,8 @@
 """Artist and title tags in the bytes of audio files: reading, writing, tables of chunks.
 
-Formats are a front tag of frames (MP3), or a list of chunks that may hold a tag (WAV, AIFF). Files
-are binary columns; nothing is written to disk here.
+Tags are written to a front tag of frames (MP3) or to a list of chunks (WAV, AIFF), and read from these
+and from the comments of FLAC and Ogg streams and the atoms of MPEG-4 files. Files are binary columns;
+nothing is written to disk here.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ from curatrix.functions import text as t
 
 # fixed values: names in the formats
 TITLE_FRAME, ARTIST_FRAME, UTF8_TEXT = b"TIT2", b"TPE1", b"\x03"
+OLD_FRAMES = {b"TT2": TITLE_FRAME, b"TP1": ARTIST_FRAME}
 ARTIST_INFO, TITLE_INFO = b"IART", b"INAM"
+FLAC_COMMENTS, OGG_COMMENTS = 4, (b"\x03vorbis", b"OpusTags")
+MP4_WAY, MP4_ARTIST, MP4_TITLE = (b"moov", b"udta", b"meta", b"ilst"), b"\xa9ART", b"\xa9nam"
+#: Magic, version, revision, flags, size.
+ID3_HEAD = struct.Struct(">3sBBB4s")
 
 
 class TagError(ValueError):
@@ -30,35 +36,33 @@ class TagError(ValueError):
 
 def synchsafe(n: int) -> bytes:
     """28 bits, 7 in each byte."""
-    return bytes((n >> shift) & 0x7F for shift in (21, 14, 7, 0))
+    return (n & 0x7F | (n & 0x3F80) << 1 | (n & 0x1FC000) << 2 | (n & 0xFE00000) << 3).to_bytes(4, "big")
 
 
 def unsynchsafe(b: bytes) -> int:
-    n = 0
-    for x in b:
-        n = n << 7 | x & 0x7F
-    return n
+    n = int.from_bytes(b, "big")
+    return n & 0x7F | (n & 0x7F00) >> 1 | (n & 0x7F0000) >> 2 | (n & 0x7F000000) >> 3
 
 
 def id3_tag(artist: str, title: str, length: int | None = None) -> bytes:
-    """A version 2.4 tag, of ``length`` bytes in all if given."""
-
-    def frame(name: bytes, value: str) -> bytes:
-        body = UTF8_TEXT + value.encode() + b"\0"
-        return name + synchsafe(len(body)) + b"\0\0" + body
-
-    frames = frame(TITLE_FRAME, title) + (frame(ARTIST_FRAME, artist) if artist else b"")
-    if length is not None:
-        frames = frames.ljust(length - 10, b"\0")
-    return b"ID3\x04\0\0" + synchsafe(len(frames)) + frames
+    """A version 2.4 tag with a title and, if there is one, an artist; zeros fill it up to ``length``."""
+    frames = bytearray()
+    for name, value in ((TITLE_FRAME, title), (ARTIST_FRAME, artist)):
+        if value or name == TITLE_FRAME:
+            text = UTF8_TEXT + value.encode("utf-8") + bytes(1)
+            frames += struct.pack(">4s4s2x", name, synchsafe(len(text))) + text
+    if length:
+        frames += bytes(max(0, length - ID3_HEAD.size - len(frames)))
+    return ID3_HEAD.pack(b"ID3", 4, 0, 0, synchsafe(len(frames))) + frames
 
 
 def id3_length(data: bytes) -> int:
     """Bytes of the tag in front: its header, its body, and its footer if it says so."""
-    if len(data) < 10 or data[:3] != b"ID3":
+    if len(data) < ID3_HEAD.size:
         return 0
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-    return 10 + size + (10 if data[5] & 0x10 else 0)
+    magic, _, _, flags, size = ID3_HEAD.unpack_from(data)
+    ends = 2 if flags & 0x10 else 1
+    return ends * ID3_HEAD.size + unsynchsafe(size) if magic == b"ID3" else 0
 
 
 def write_mp3(data: bytes, artist: str, title: str) -> bytes:
@@ -82,24 +86,26 @@ class Chunk:
 
 
 def chunks(data: bytes, big_endian: bool) -> list[Chunk]:
-    """All chunks behind the 12 bytes of the file's header."""
+    """All chunks behind the 12 bytes of the file's header; what is too short for one is left out."""
     if len(data) < 12:
-        raise TagError("file too small")
-    out, at = [], 12
-    while at + 8 < len(data):
-        out.append(Chunk(data[at : at + 4], at, struct.unpack_from(">I" if big_endian else "<I", data, at + 4)[0]))
+        raise TagError(f"a header has 12 bytes, not {len(data)}")
+    head, out, at = struct.Struct(">4sI" if big_endian else "<4sI"), [], 12
+    while at + head.size < len(data):
+        name, size = head.unpack_from(data, at)
+        out.append(Chunk(name, at, size))
         at = out[-1].end()
     return out
 
 
+def chunk(name: bytes, body: bytes, order: str, terminated: bool = False) -> bytes:
+    """A chunk of an even number of bytes; the size of a terminated text counts its zeros."""
+    padded = body + bytes(len(body) % 2)
+    return struct.pack(f"{order}4sI", name, len(padded if terminated else body)) + padded
+
+
 def info_chunk(artist: str, title: str) -> bytes:
-    body = b"INFO"
-    for name, value in ((ARTIST_INFO, artist), (TITLE_INFO, title)):
-        if value:
-            raw = value.encode() + b"\0"
-            raw += b"\0" * (len(raw) % 2)
-            body += name + struct.pack("<I", len(raw)) + raw
-    return b"LIST" + struct.pack("<I", len(body)) + body
+    texts = [chunk(name, value.encode() + bytes(1), "<", terminated=True) for name, value in ((ARTIST_INFO, artist), (TITLE_INFO, title)) if value]
+    return chunk(b"LIST", b"INFO" + b"".join(texts), "<")
 
 
 def is_stale(data: bytes, c: Chunk) -> bool:
@@ -115,10 +121,10 @@ def write_wav(data: bytes, artist: str, title: str) -> bytes:
     """One new INFO list at the end; stale metadata goes, wherever it was."""
     found = chunks(data, False)
     if data[:4] != b"RIFF" or not found:
-        raise TagError("not a RIFF/WAV file")
+        raise TagError("no RIFF file with chunks")
     audio = next((i for i, c in enumerate(found) if c.id == b"data"), None)
     if audio is None:
-        raise TagError("no data chunk")
+        raise TagError("a WAV file without audio data")
     in_front = any(is_stale(data, c) for c in found[:audio])
     head, rest = (b"RIFF\0\0\0\0WAVE", found) if in_front else (data[: found[audio].end()].ljust(found[audio].end(), b"\0"), found[audio + 1 :])
     kept = b"".join(data[c.pos : c.end()] for c in rest if not is_stale(data, c))
@@ -129,14 +135,13 @@ def write_aiff(data: bytes, artist: str, title: str) -> bytes:
     """One ID3 chunk at the end; any other goes."""
     found = chunks(data, True)
     if data[:4] != b"FORM":
-        raise TagError("not an AIFF file")
+        raise TagError("no FORM file")
     tag = id3_tag(artist, title)
-    chunk = b"ID3 " + struct.pack(">I", len(tag)) + tag + b"\0" * (len(tag) % 2)
     if any(c.id == b"ID3 " for c in found[:-1]):
         body = b"FORM\0\0\0\0" + data[8:12] + b"".join(data[c.pos : c.end()] for c in found if c.id != b"ID3 ")
     else:
         body = data[: found[-1].pos] if found and found[-1].id == b"ID3 " else data
-    return _sized(body + chunk, ">")
+    return _sized(body + chunk(b"ID3 ", tag, ">"), ">")
 
 
 WRITERS: dict[str, Callable[[bytes, str, str], bytes]] = {".wav": write_wav, ".mp3": write_mp3, ".aiff": write_aiff, ".aif": write_aiff, ".aifc": write_aiff}
@@ -153,39 +158,148 @@ def tag_bytes(name: str, data: bytes) -> tuple[str, bytes | None]:
     return "ok", write(data, artist, title)
 
 
+def _id3_frames(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Names and bodies of a front tag's frames, of versions 2.2 to 2.4."""
+    _, version, _, flags, size = ID3_HEAD.unpack_from(data)
+    body = data[ID3_HEAD.size : ID3_HEAD.size + unsynchsafe(size)]
+    if flags & 0x80 and version < 4:  # zeros were put in where audio could seem to begin
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2 and len(body) >= 4:  # an extended header comes first
+        body = body[unsynchsafe(body[:4]) if version >= 4 else 4 + int.from_bytes(body[:4], "big") :]
+    name_size, head = (3, 6) if version == 2 else (4, 10)
+    at = 0
+    while at + head <= len(body) and body[at]:
+        raw = body[at + name_size : at + 2 * name_size]
+        n = unsynchsafe(raw) if version >= 4 else int.from_bytes(raw, "big")
+        frame = body[at + head : at + head + n]
+        if version >= 4 and body[at + 9] & 1:  # its length without added zeros comes first
+            frame = frame[4:]
+        if version >= 4 and (flags & 0x80 or body[at + 9] & 2):
+            frame = frame.replace(b"\xff\0", b"\xff")
+        yield body[at : at + name_size], frame
+        at += head + n
+
+
 def read_id3(data: bytes) -> tuple[str, str]:
-    """Artist and title of a front tag of version 2.3 or 2.4."""
-    if id3_length(data) == 0:
-        return "", ""
-    found = {}
-    at, end = 10, min(len(data), 10 + unsynchsafe(data[6:10]))
-    while at + 10 <= end and data[at] != 0:
-        raw = data[at + 4 : at + 8]
-        size = unsynchsafe(raw) if data[3] >= 4 else int.from_bytes(raw, "big")
-        body = data[at + 10 : at + 10 + size]
-        if body and data[at : at + 4] in (TITLE_FRAME, ARTIST_FRAME):
-            kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "utf-8")
-            found[data[at : at + 4]] = body[1:].decode(kind, "replace").split("\0")[0]
-        at += 10 + size
+    """Artist and title of a front tag."""
+    found: dict[bytes, str] = {}
+    for name, frame in _id3_frames(data) if id3_length(data) else ():
+        if frame and name in (TITLE_FRAME, ARTIST_FRAME, *OLD_FRAMES):
+            kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(frame[0], "utf-8")
+            found.setdefault(OLD_FRAMES.get(name, name), frame[1:].decode(kind, "replace").split("\0")[0])
     return found.get(ARTIST_FRAME, ""), found.get(TITLE_FRAME, "")
 
 
+def read_comments(data: bytes) -> tuple[str, str]:
+    """Artist and title of a block of ``NAME=value`` comments, as FLAC and Ogg streams have it."""
+    found: dict[str, str] = {}
+    at = 4 + struct.unpack_from("<I", data)[0]  # behind the writer's name
+    (n,) = struct.unpack_from("<I", data, at)
+    at += 4
+    for _ in range(n):
+        (size,) = struct.unpack_from("<I", data, at)
+        name, _, value = data[at + 4 : at + 4 + size].decode("utf-8", "replace").partition("=")
+        found.setdefault(name.upper(), value)
+        at += 4 + size
+    return found.get("ARTIST", ""), found.get("TITLE", "")
+
+
+def read_flac(data: bytes) -> tuple[str, str]:
+    """Of the stream's block of comments; blocks have a kind and a size of 24 bits."""
+    at, last = 4, False
+    while not last and at + 4 <= len(data):
+        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind & 0x7F == FLAC_COMMENTS:
+            return read_comments(data[at + 4 : at + 4 + size])
+        last, at = bool(kind & 0x80), at + 4 + size
+    return "", ""
+
+
+def ogg_packets(data: bytes) -> Iterator[bytes]:
+    """Packets of the file's first stream: pages list the sizes of segments; one below 255 ends a packet."""
+    at, packet, stream = 0, bytearray(), None
+    while data[at : at + 4] == b"OggS" and at + 27 <= len(data):
+        serial, n = data[at + 14 : at + 18], data[at + 26]
+        sizes, low = data[at + 27 : at + 27 + n], at + 27 + n
+        stream = stream or serial
+        for size in sizes:
+            if serial == stream:
+                packet += data[low : low + size]
+                if size < 255:
+                    yield bytes(packet)
+                    packet.clear()
+            low += size
+        at = low
+
+
+def read_ogg(data: bytes) -> tuple[str, str]:
+    """Of the stream's second packet."""
+    for i, packet in enumerate(ogg_packets(data)):
+        for mark in OGG_COMMENTS:
+            if packet.startswith(mark):
+                return read_comments(packet[len(mark) :])
+        if i >= 2:
+            break
+    return "", ""
+
+
+def _atoms(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Names and bodies: sizes count their heads; 1 means 64 bits behind, 0 up to the end."""
+    at = 0
+    while at + 8 <= len(data):
+        size, name = struct.unpack_from(">I4s", data, at)
+        head = 8
+        if size == 1:
+            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+        size = size or len(data) - at
+        if size < head:
+            raise TagError("an atom smaller than its head")
+        yield name, data[at + head : at + size]
+        at += size
+
+
+def read_mp4(data: bytes) -> tuple[str, str]:
+    """Of the atoms at ``moov.udta.meta.ilst``."""
+    for name in MP4_WAY:
+        data = next((body for found, body in _atoms(data) if found == name), b"")
+        if name == b"meta":
+            data = data[4:]  # version and flags
+    texts = {}
+    for name, body in _atoms(data):
+        # A value has its type and language in front.
+        texts[name] = next((value[8:].decode("utf-8", "replace") for kind, value in _atoms(body) if kind == b"data"), "")
+    return texts.get(MP4_ARTIST, ""), texts.get(MP4_TITLE, "")
+
+
+def read_chunks(data: bytes) -> tuple[str, str]:
+    """Of a WAV or AIFF file: its ID3 chunk if that says something, else its first INFO list."""
+    info, tag = ("", ""), ("", "")
+    for c in chunks(data, data[:4] == b"FORM"):
+        body = data[c.pos + 8 : c.pos + 8 + c.size]
+        if c.id == b"LIST" and body[:4] == b"INFO" and not any(info):
+            texts, at = {}, 4
+            while at + 8 <= len(body):
+                name, size = struct.unpack_from("<4sI", body, at)
+                texts[name] = body[at + 8 : at + 8 + size].rstrip(b"\0").decode("utf-8", "replace")
+                at += 8 + size + size % 2
+            info = texts.get(ARTIST_INFO, ""), texts.get(TITLE_INFO, "")
+        elif c.id in (b"ID3 ", b"id3 "):
+            tag = read_id3(body) if any(read_id3(body)) else tag
+    return tag if any(tag) else info
+
+
 def read_tags(data: bytes) -> tuple[str, str] | None:
     """Artist and title of any of the formats, or None where both are empty or nothing can be read."""
-    pair = ("", "")
+    front = id3_length(data)
     if data[:4] in (b"RIFF", b"FORM") and len(data) >= 12:
-        big = data[:4] == b"FORM"
-        for c in chunks(data, big):
-            body = data[c.pos + 8 : c.pos + 8 + c.size]
-            if c.id == b"LIST" and body[:4] == b"INFO" and not any(pair):
-                parts, at = {}, 4
-                while at + 8 <= len(body):
-                    size = struct.unpack_from("<I", body, at + 4)[0]
-                    parts[body[at : at + 4]] = body[at + 8 : at + 8 + size].rstrip(b"\0").decode("utf-8", "replace")
-                    at += 8 + size + size % 2
-                pair = parts.get(ARTIST_INFO, ""), parts.get(TITLE_INFO, "")
-            elif c.id in (b"ID3 ", b"id3 "):
-                pair = read_id3(body) if any(read_id3(body)) else pair
+        pair = read_chunks(data)
+    elif data[front : front + 4] == b"fLaC":
+        pair = read_flac(data[front:])
+        pair = pair if any(pair) else read_id3(data)
+    elif data[:4] == b"OggS":
+        pair = read_ogg(data)
+    elif data[4:8] == b"ftyp":
+        pair = read_mp4(data)
     else:
         pair = read_id3(data)
     return pair if any(pair) else None

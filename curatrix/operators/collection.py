@@ -137,20 +137,37 @@ def relink_plan(content: DataFrame, mapping: DataFrame, folder: str = "") -> Dat
     return found.select(F.col("id").alias("content_id"), "old_name", F.col("new").alias("new_name"), F.concat("__dir", F.lit("/"), F.col("new")).alias("new_path"), title.alias("title"), artist.alias("artist"))
 
 
-def apply_relink(content: DataFrame, plan: DataFrame, set_title: bool = True, on_disk: DataFrame | None = None) -> DataFrame:
-    """The new version of ``content`` (id, path, file_name, title, artist).
+def with_artists(artists: DataFrame, plan: DataFrame) -> DataFrame:
+    """``artists`` (id, name) with a row for each of the plan's artists that is missing; ids follow names."""
+    wanted = plan.where("artist <> ''").select(F.col("artist").alias("name")).distinct().join(artists.select("name"), "name", "left_anti")
+    return artists.select("id", "name").unionByName(wanted.select(F.abs(F.xxhash64("name")).cast("string").alias("id"), "name"))
 
-    With ``on_disk`` (``path``), a plan with a file that isn't there is an error.
+
+def apply_relink(content: DataFrame, plan: DataFrame, set_title: bool = True, refresh_artist: bool = True, on_disk: DataFrame | None = None, artists: DataFrame | None = None) -> DataFrame:
+    """The new version of ``content``: id, path, file_name and, where it has them, file_name_s, title,
+    artist and artist_id, which ``artists`` (id, name; see ``with_artists``) gives for names.
+
+    A plan for an entry that isn't there is an error; with ``on_disk`` (``path``), so is one with a file
+    that isn't there. Of artists with one name, the least id counts.
     """
-    changes = plan.select(F.col("content_id").alias("__id"), "new_path", "new_name", F.col("title").alias("__title"), F.col("artist").alias("__artist"))
+    changes = plan.select(F.col("content_id").alias("__id"), "new_path", "new_name", F.nullif("title", F.lit("")).alias("__title"), F.nullif("artist", F.lit("")).alias("__artist"))
     if on_disk is not None:
-        there = on_disk.select(F.col("path").alias("new_path"), F.lit(True).alias("__there"))
+        there = on_disk.select(F.col("path").alias("new_path"), F.lit(True).alias("__there")).distinct()
         checked = F.when(F.col("__there"), F.col("new_path")).otherwise(F.raise_error(F.concat(F.lit("no such file: "), F.col("new_path"))).cast("string"))
         changes = changes.join(there, "new_path", "left").withColumn("new_path", checked).drop("__there")
-    rows = content.join(changes, F.col("id").cast("string") == F.col("__id"), "left")
-    new = {"path": F.coalesce("new_path", "path"), "file_name": F.coalesce("new_name", "file_name"), "artist": F.coalesce(F.nullif("__artist", F.lit("")), "artist")}
-    if set_title:
-        new["title"] = F.coalesce(F.nullif("__title", F.lit("")), "title")
+    if artists is not None:
+        changes = changes.join(artists.groupBy(F.col("name").alias("__artist")).agg(F.min("id").alias("__artist_id")), "__artist", "left")
+    rows = content.withColumn("__here", F.lit(True)).join(changes, F.col("id").cast("string") == F.col("__id"), "full")
+    vanished = F.raise_error(F.concat(F.lit("no such entry: "), F.col("__id")))
+    new = {"id": F.when(F.col("__here"), F.col("id")).otherwise(vanished.cast(content.schema["id"].dataType)), "path": F.coalesce("new_path", "path"), "file_name": F.coalesce("new_name", "file_name")}
+    if "file_name_s" in content.columns:
+        new["file_name_s"] = F.coalesce("new_name", "file_name_s")
+    if set_title and "title" in content.columns:
+        new["title"] = F.coalesce("__title", "title")
+    if refresh_artist and "artist" in content.columns:
+        new["artist"] = F.coalesce("__artist", "artist")
+    if refresh_artist and artists is not None and "artist_id" in content.columns:
+        new["artist_id"] = F.coalesce("__artist_id", "artist_id")
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in content.columns])
 
 

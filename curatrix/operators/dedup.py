@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from curatrix.functions import native
 from curatrix.functions import text as t
 from curatrix.lineage import materialize
-from curatrix.operators.ranking import number_rows
+from curatrix.operators.ranking import number_rows, number_within
 
 PREFIX_BYTES = 64 << 10
 #: Pairs of a size and a prefix's hash, 100 bytes or so each, that may be broadcast.
 GATE_KEYS = 500_000
+#: Rows of one name that a window may hold.
+HOT_NAMES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -172,17 +174,24 @@ def selected(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 def move_plan(extras: DataFrame, occupied: DataFrame) -> DataFrame:
     """``ord, path, target``: names in one folder; a taken one gets `` (2)``, `` (3)``, until it's free.
 
-    ``occupied`` has the folder's names (``name``). Names that only differ in their number are settled
-    together, in order, so that results are those of one move after the other.
+    ``occupied`` has the folder's names (``name``). Candidates of a name are its stem with a number, and
+    a family is all names that could meet there. Where all names of a family are one, its rows are
+    numbered. Where some already have a number, the family is settled in order, as one move after the
+    other would be, and the names it has taken are held.
     """
     name = t.split_path(F.col("path"))[1]
     wanted = extras.select("ord", "path", name.alias("name"))
-    # Candidates of a name are its stem with a number; a family is all names that could meet there.
+    both = wanted.unionByName(occupied.select("name").distinct(), allowMissingColumns=True)
     stem = F.regexp_replace(t.splitext(F.col("name"))[0], r"(?: \(\d+\))+\z", "")
-    family = F.concat(stem, F.lit("\x00"), t.splitext(F.col("name"))[1])
-    both = wanted.withColumn("family", family).unionByName(occupied.select(F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("path"), "name").withColumn("family", family))
+    both = both.withColumn("family", F.concat(stem, F.lit("\x00"), t.splitext(F.col("name"))[1]))
+    kinds = both.groupBy("family").agg((F.min("name") == F.max("name")).alias("alike"), F.count_if(F.col("ord").isNull()).alias("taken"))
+    both = materialize(both.join(materialize(kinds, "families"), "family"), "names")
+    alike = number_within(both.where("alike AND ord IS NOT NULL"), "family", ["ord"], "n", HOT_NAMES).withColumn("n", F.col("n") + F.col("taken"))
+    root, ext = t.splitext(F.col("name"))
+    target = F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(root, F.lit(" ("), F.col("n").cast("string"), F.lit(")"), ext))
     parts = int(extras.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = both.repartition(parts, "family").sortWithinPartitions("family", F.col("ord").isNotNull(), "ord")
+    rest = both.where("NOT alike").select("ord", "path", "name", "family")
+    sorted_ = rest.repartition(parts, "family").sortWithinPartitions("family", F.col("ord").isNotNull(), "ord")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, taken, last = None, set(), {}
@@ -204,4 +213,4 @@ def move_plan(extras: DataFrame, occupied: DataFrame) -> DataFrame:
                 out.append((int(r.ord), r.path, target))
             yield pd.DataFrame(out, columns=["ord", "path", "target"])
 
-    return sorted_.mapInPandas(settle, "ord long, path string, target string")
+    return alike.select("ord", "path", target.alias("target")).unionByName(sorted_.mapInPandas(settle, "ord long, path string, target string"))

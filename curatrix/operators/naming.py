@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
 from curatrix.lineage import materialize
-from curatrix.operators.ranking import number_rows
+from curatrix.operators.ranking import number_within
 
 #: Rows of one target that a window may hold.
 HOT_NAMES = 1_000_000
@@ -62,18 +62,9 @@ def add_suffixes(plan: DataFrame) -> DataFrame:
     ``old`` by many tasks; the others' windows are small.
     """
     rows = materialize(plan.withColumn("__key", F.lower("new")).withColumn("__at", F.monotonically_increasing_id()), "plan")
-    hot = rows.where("new <> ''").groupBy("__key").count().where(F.col("count") > HOT_NAMES).select("__key")
-    # Names left to a person form no group: their window's second key keeps them apart.
-    window = Window.partitionBy("__key", F.when(F.col("new") == "", F.col("old"))).orderBy("old")
-    if not hot.take(1):
-        numbered = rows.withColumn("__n", F.row_number().over(window))
-    else:
-        hot = materialize(hot, "hot")
-        few = rows.join(hot, "__key", "left_anti").withColumn("__n", F.row_number().over(window))
-        many = materialize(number_rows(rows.join(hot, "__key", "left_semi"), ["__key", "old", "__at"], "__number"), "hot")
-        first = materialize(many.groupBy("__key").agg(F.min("__number").alias("__first")), "hot")
-        many = many.join(first, "__key").withColumn("__n", F.col("__number") - F.col("__first") + 1)
-        numbered = few.unionByName(many.select(*few.columns))
+    # Names left to a person form no group.
+    named = number_within(rows.where("new <> ''"), "__key", ["old", "__at"], "__n", HOT_NAMES)
+    numbered = named.unionByName(rows.where("new = ''").withColumn("__n", F.lit(1).cast("long")))
     root, ext = t.splitext(F.col("new"))
     again = (F.col("new") != "") & (F.col("__n") > 1)
     return numbered.withColumn("new", F.when(again, F.concat(root, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext)).otherwise(F.col("new"))).select(*plan.columns)

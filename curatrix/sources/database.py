@@ -6,6 +6,7 @@ own tools before. Rows are written to the shared folder in pieces, so none is he
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from pathlib import Path
 
@@ -17,16 +18,27 @@ from curatrix.lineage import shared_path
 PIECE = 50_000
 # fixed values: tables and columns, and what they are called here
 TABLES = {
-    "content": ("djmdContent", {"ID": "id", "FolderPath": "path", "FileNameL": "file_name", "Title": "title", "ArtistID": "artist_id", "created_at": "created", "DJPlayCount": "plays", "Rating": "rating", "Commnt": "comment"}),
+    "content": ("djmdContent", {"ID": "id", "FolderPath": "path", "FileNameL": "file_name", "FileNameS": "file_name_s", "Title": "title", "ArtistID": "artist_id", "created_at": "created", "DJPlayCount": "plays", "Rating": "rating", "Commnt": "comment"}),
     "cues": ("djmdCue", {"ID": "id", "ContentID": "content_id"}),
     "playlists": ("djmdSongPlaylist", {"ID": "id", "PlaylistID": "playlist_id", "ContentID": "content_id"}),
     "artists": ("djmdArtist", {"ID": "id", "Name": "name"}),
 }
 
 
-def locate(configured: str | None, candidates: tuple[str, ...] = ()) -> str | None:
-    """The configured file if it is one, else the first candidate that is."""
-    return next((p for p in (configured, *candidates) if p and Path(p).is_file()), None)
+def from_options(path: str) -> str | None:
+    """The database that an application's options file (JSON) names as its ``db-path``, if any."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            pairs = json.load(f)["options"]
+        return next((str(p[1]) for p in pairs if p[0] == "db-path"), None)
+    except (OSError, ValueError, LookupError, TypeError):
+        return None
+
+
+def locate(configured: str | None, candidates: tuple[str, ...] = (), options: tuple[str, ...] = ()) -> str | None:
+    """The first of these that is a file: the configured one, candidates, and what options files name."""
+    named = (from_options(o) for o in options)
+    return next((p for p in (configured, *candidates, *named) if p and Path(p).is_file()), None)
 
 
 def read_collection(spark: SparkSession, path: str) -> dict[str, DataFrame]:

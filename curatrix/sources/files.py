@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,14 @@ from curatrix.operators.codec import tags_of
 from curatrix.operators.ranking import number_rows
 
 
+def as_uri(path: str) -> str:
+    """A path as Spark's readers give it, escaped where it has a scheme."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon or "/" in scheme:
+        return path
+    return f"{scheme}:{'//' if not rest.startswith('/') else ''}/{quote(rest)}"
+
+
 def all_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """``path`` of every file, empty ones too, which Spark's reader of contents leaves out.
 
@@ -70,3 +81,20 @@ def tag_table(spark: SparkSession, folder: str, recursive: bool = False) -> Data
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """``path`` of every regular file below a folder."""
     return all_files(spark, folder, recursive=True)
+
+
+def existing(paths: DataFrame) -> DataFrame:
+    """The rows (``path``) whose path is a file; tasks look, each at its own rows' paths."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            there = []
+            for path in batch["path"]:
+                try:
+                    fs, where = pafs.FileSystem.from_uri(as_uri(path)) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+                    there.append(fs.get_file_info(where).type == pafs.FileType.File)
+                except (OSError, ValueError):
+                    there.append(False)
+            yield batch[there]
+
+    return paths.select("path").where("path IS NOT NULL").mapInPandas(look, "path string")

@@ -10,6 +10,8 @@ from curatrix.operators.naming import Options
 
 @dataclass(frozen=True)
 class Settings:
+    """``max_threads`` is read and kept only: how many tasks run at a time is the session's."""
+
     last_folder: str | None = None
     master_db: str | None = None
     backup_dir: str | None = None
@@ -24,6 +26,10 @@ class Settings:
         """The mix of a file's name is always kept."""
         return Options("tags" if self.prefer_tags else "filename", self.alphabetical_artists, True)
 
+    def relink(self) -> dict[str, bool]:
+        """What ``collection.apply_relink`` takes."""
+        return {"set_title": self.set_title, "refresh_artist": self.refresh_artist}
+
 
 def load_settings(path: str) -> Settings:
     """Of a JSON file; what it lacks, or all if it can't be read, has its default."""

@@ -115,7 +115,7 @@ def test_settings(tmp_path):
 def test_collection_file(spark, tmp_path):
     path = str(tmp_path / "c.db")
     with sqlite3.connect(path) as db:
-        db.executescript("CREATE TABLE djmdContent (ID, FolderPath, FileNameL, Title, ArtistID, created_at, DJPlayCount INT, Rating INT, Commnt); CREATE TABLE djmdCue (ID, ContentID); CREATE TABLE djmdSongPlaylist (ID, PlaylistID, ContentID); CREATE TABLE djmdArtist (ID, Name); INSERT INTO djmdContent VALUES ('1', '/x/A - B.mp3', 'A - B.mp3', NULL, NULL, '2020', 3, 0, NULL); INSERT INTO djmdCue VALUES ('q', '1')")
+        db.executescript("CREATE TABLE djmdContent (ID, FolderPath, FileNameL, FileNameS, Title, ArtistID, created_at, DJPlayCount INT, Rating INT, Commnt); CREATE TABLE djmdCue (ID, ContentID); CREATE TABLE djmdSongPlaylist (ID, PlaylistID, ContentID); CREATE TABLE djmdArtist (ID, Name); INSERT INTO djmdContent VALUES ('1', '/x/A - B.mp3', 'A - B.mp3', NULL, NULL, NULL, '2020', 3, 0, NULL); INSERT INTO djmdCue VALUES ('q', '1')")
     tables = database.read_collection(spark, path)
     entry = collection.load_entries(tables["content"], tables["cues"], tables["playlists"]).first()
     assert (entry.id, entry.ext, entry.plays, entry.cue_ids, entry.playlist_rows) == ("1", ".mp3", 3, ["q"], [])
