@@ -334,6 +334,16 @@ def tags_of(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["artist", "title"])
 
 
+@pandas_udf(T.IntegerType())
+def part_count(content: pd.Series) -> pd.Series:
+    """How many chunks a RIFF or IFF file has; any other is one part."""
+    out = []
+    for data in content:
+        head = b"" if data is None else bytes(data[:4])
+        out.append(None if data is None else len(chunks(bytes(data), head == b"FORM")) if head in (b"RIFF", b"FORM") else 1)
+    return pd.Series(out, dtype="Int32")
+
+
 @udtf(returnType=T.StructType([T.StructField("id", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("size", T.LongType())]))
 class ChunkTable:
     """The chunks of a RIFF or IFF file, one row each."""

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
+from curatrix.lineage import materialize, shared_path
 from curatrix.operators import codec, collection, dedup, health, naming
 from curatrix.plans import tables as src
 from curatrix.plans.tables import ENTRIES_SQL, FILES_SQL, KEY_SQL, NAMES_SQL, PATH_KEY_SQL, table
+from curatrix.sources import mapping, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,9 +205,12 @@ def q12_norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", t.norm_key(F.col("lang"), F.col("text")).alias("key"))
 
 
-@query(f"WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE upper(replace(url, '/', '\\')) || '/./' END AS path FROM pages) SELECT page_id, {PATH_KEY_SQL} AS path_key FROM p")
+# What goes up is left out of the SQL's path: a folder and its "..", or all but the part that ends with a colon.
+@query(f"WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN upper(replace(url, '/', '\\')) || '/./' WHEN 2 THEN url || '/T\u00f6p' ELSE split_part(url, '/', 1) || '/Top' END AS path FROM pages) SELECT page_id, {PATH_KEY_SQL} AS path_key FROM p")
 def q13_path_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.upper(F.translate("url", "/", "\\")), F.lit("/./")))
+    url, kind = F.col("url"), F.col("page_id") % 4
+    odd = F.concat(F.upper(F.translate("url", "/", "\\")), F.lit("/./"))
+    path = F.when(kind == 0, url).when(kind == 1, odd).when(kind == 2, F.concat(url, F.lit("/a/./B/../..\\To\u0308p"))).otherwise(F.concat(url, F.lit("/.." * 40 + "/Top")))
     return table(spark, sf_dir, "pages").select("page_id", t.path_key(path).alias("path_key"))
 
 
@@ -224,6 +229,45 @@ def q15_build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
+#: Tags that follow from a name's length: both, one of them, or none.
+_TAG_ARTIST = "CASE WHEN length(name) % 5 < 3 THEN 'T\u00e4g_' || name ELSE '' END"
+_TAG_TITLE = "CASE length(name) % 5 WHEN 0 THEN 'Tune ft. ' || name WHEN 1 THEN 'Tune (Dub) ' || length(name) WHEN 3 THEN 'Only' ELSE '' END"
+_FOUND = f"list_filter(regexp_extract_all(title, '(\\([^)]*\\))', 1), lambda p: regexp_matches(p, '{_MIX}'))"
+TAGGED_SQL = f"""
+{PARSED_SQL},
+tagged AS (SELECT *, {_junk(f"replace({_TAG_ARTIST}, '_', ' ')")} AS ta, {_junk(f"replace({_TAG_TITLE}, '_', ' ')")} AS tt FROM parsed),
+mixed AS (SELECT *, CASE WHEN title = '' OR len({_FOUND}) = 0 OR regexp_matches(tt, '(?i)\\([^)]*{_MIX}[^)]*\\)') THEN tt ELSE tt || ' ' || array_to_string({_FOUND}, ' ') END AS tm FROM tagged),
+chosen AS (SELECT name, CASE WHEN ta <> '' THEN ta ELSE artist END AS a, CASE WHEN ta <> '' AND tt <> '' THEN tm WHEN tt <> '' THEN tt ELSE title END AS b,
+                  CASE WHEN ta <> '' AND tt <> '' THEN 'tags' WHEN ta <> '' OR tt <> '' THEN 'mixed' ELSE 'filename' END AS origin FROM mixed),
+built AS (SELECT name AS old, CASE WHEN a <> '' AND b <> '' THEN {_safe(_parens(f"{_artists('a')} || ' - ' || {_feat('b')}"))} || lower({_EXT.format('name')}) ELSE '' END AS new, CASE WHEN a <> '' AND b <> '' THEN origin ELSE 'manual' END AS origin FROM chosen),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lower(new) ORDER BY old) AS n FROM built),
+plan AS (SELECT old, CASE WHEN new <> '' AND n > 1 THEN {_ROOT.format('new')} || ' (' || n || ')' || {_EXT.format('new')} ELSE new END AS new, origin FROM numbered)
+"""
+
+
+@query(f"WITH {TAGGED_SQL} SELECT old, new, origin FROM plan")
+def q15b_plan_with_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = src.names(spark, sf_dir)
+    tags = names.select("name", F.expr(_TAG_ARTIST).alias("artist"), F.expr(_TAG_TITLE).alias("title")).where("artist <> '' OR title <> ''").distinct()
+    return naming.plan_names(names, tags)
+
+
+@query(f"WITH {PLANNED_SQL} SELECT trim(old) AS old, new FROM plan WHERE new <> '' AND new <> old")
+def q15c_plan_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_path(spark, 'plan')}.csv"
+    sinks.write_single(sinks.plan_rows(_plan(spark, sf_dir)), path)
+    return mapping.load_mapping(spark, path).select("old", "new")
+
+
+@query(f"WITH {PLANNED_SQL} SELECT trim(old) AS old, new FROM plan WHERE new <> '' AND new <> old AND length(old) % 2 = 0")
+def q15d_rollback_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = materialize(_plan(spark, sf_dir), "plan")
+    done = plan.where(F.length("old") % 2 == 0).select("old").distinct()
+    path = f"{shared_path(spark, 'rollback')}.csv"
+    sinks.write_single(sinks.rollback_rows(naming.rename_map(plan, done)), path)
+    return mapping.load_mapping(spark, path).select("old", "new")
+
+
 @query("WITH b AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS old, p_name || '.mp3' AS new FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY lower(new) ORDER BY old) AS n FROM b) SELECT old, CASE WHEN n > 1 THEN replace(new, '.mp3', '') || ' (' || n || ').mp3' ELSE new END AS new FROM n")
 def q16_collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("old"), F.concat("p_name", F.lit(".mp3")).alias("new"))
@@ -316,14 +360,19 @@ def _paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_RELINK_SQL} SELECT * FROM plan")
 def q24_mapping_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content, mapping = _paged(spark, sf_dir)
-    return collection.relink_plan(content, mapping, "example")
+    content, renames = _paged(spark, sf_dir)
+    return collection.relink_plan(content, renames, "example")
 
 
-@query(f"WITH {_RELINK_SQL} SELECT id, coalesce(new_path, path) AS path, coalesce(new_name, regexp_extract(path, '([^/\\\\]*)$', 1)) AS file_name, coalesce(p.title, '') AS title, coalesce(p.artist, '') AS artist FROM (SELECT CAST(page_id AS VARCHAR) AS id, url AS path FROM pages) c LEFT JOIN plan p ON p.content_id = c.id")
+@query(f"WITH {_RELINK_SQL} SELECT id, coalesce(new_path, path) AS path, coalesce(new_name, regexp_extract(path, '([^/\\\\]*)$', 1)) AS file_name, coalesce(new_name, 'S' || id) AS file_name_s, coalesce(p.title, '') AS title, coalesce(p.artist, '') AS artist, CASE WHEN p.artist = 'Artist 3' THEN 'known' WHEN p.artist IS NOT NULL THEN 'new' END AS link FROM (SELECT CAST(page_id AS VARCHAR) AS id, url AS path FROM pages) c LEFT JOIN plan p ON p.content_id = c.id")
 def q30_relink_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content, mapping = _paged(spark, sf_dir)
-    return collection.apply_relink(content, collection.relink_plan(content, mapping, "example"))
+    content, renames = _paged(spark, sf_dir)
+    content = content.withColumn("file_name_s", F.concat(F.lit("S"), "id")).withColumn("artist_id", F.lit(None).cast("string"))
+    plan = collection.relink_plan(content, renames, "example")
+    artists = collection.with_artists(spark.createDataFrame([("3", "Artist 3")], "id string, name string"), plan)
+    new = collection.apply_relink(content, plan, on_disk=plan.select(F.col("new_path").alias("path")), artists=artists)
+    link = F.when(F.col("artist_id") == "3", "known").when(F.col("artist_id").isNotNull(), "new")
+    return new.select("id", "path", "file_name", "file_name_s", "title", "artist", link.alias("link"))
 
 
 def _entries(spark: SparkSession, sf_dir: str, folder: str = "") -> DataFrame:
@@ -413,44 +462,79 @@ def q32b_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.issues(_health_counts(spark, sf_dir))
 
 
+_STATES = {"rename_issues": "c_custkey % 60", "manual_review": "c_custkey % 3", "file_groups": "c_custkey % 5", "file_extras": "c_custkey % 90", "missing_files": "c_custkey % 170 - 100", "collection_groups": "c_custkey % 21", "collection_extras": "c_custkey % 21 * 2"}
+_FLAGS = {"configured": "c_custkey % 2 = 0", "exists": "c_custkey % 7 < 4", "running": "c_custkey % 11 < 3", "error": "CASE WHEN c_custkey % 13 < 4 THEN 'locked' END"}
+_STATES_SQL = f"states AS (SELECT c_custkey, {', '.join(f'CAST(greatest({x}, 0) AS BIGINT) AS {n}' for n, x in _STATES.items())}, {', '.join(f'{x} AS {n}' for n, x in _FLAGS.items())} FROM customer)"
+_EACH_ISSUE = [("rename-issues", "warning", "rename_issues", "rename_issues > 0"), ("manual-review", "warning", "manual_review", "manual_review > 0"), ("file-duplicates", "warning", "file_extras", "file_groups > 0"), ("missing-files", "critical", "missing_files", "missing_files > 0"), ("collection-duplicates", "warning", "collection_extras", "collection_groups > 0"), ("collection-unavailable", "warning", "1", "NOT exists AND configured"), ("collection-not-configured", "warning", "1", "NOT exists AND NOT configured"), ("collection-running", "info", "1", "exists AND running"), ("collection-inspection", "warning", "1", "exists AND NOT running AND error IS NOT NULL")]
+_ISSUES_SQL = " UNION ALL ".join(f"SELECT c_custkey, {i} AS place, '{code}' AS code, '{severity}' AS severity, CAST({n} AS BIGINT) AS count FROM states WHERE {there}" for i, (code, severity, n, there) in enumerate(_EACH_ISSUE, 1))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and flags of many libraries, in all combinations."""
+    counts = [F.greatest(F.expr(x), F.lit(0)).cast("long").alias(n) for n, x in _STATES.items()]
+    return table(spark, sf_dir, "customer").select("c_custkey", *counts, *[F.expr(x).alias(n) for n, x in _FLAGS.items()])
+
+
+@query(f"WITH {_STATES_SQL}, h AS (SELECT c_custkey, CAST(greatest(0, 100 - least(rename_issues // 20, 20) - least(file_extras // 10 * 2, 25) - least(missing_files // 10 * 2, 30) - CASE WHEN configured AND NOT exists THEN 5 ELSE 0 END - least(collection_groups, 15)) AS INTEGER) AS score FROM states) SELECT c_custkey, score, CASE WHEN score >= 90 THEN 'Healthy' WHEN score >= 60 THEN 'Needs attention' ELSE 'Critical' END AS label FROM h")
+def q32c_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.report(_states(spark, sf_dir)).select("c_custkey", "score", "label")
+
+
+@query(f"WITH {_STATES_SQL}, i AS ({_ISSUES_SQL}), all_ AS (SELECT place, code, severity, count FROM i UNION ALL SELECT 1, 'healthy', 'info', 0 FROM states WHERE c_custkey NOT IN (SELECT c_custkey FROM i)) SELECT place, code, severity, count, count(*) AS libraries FROM all_ GROUP BY ALL")
+def q32d_issue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.issues(_states(spark, sf_dir)).groupBy("place", "code", "severity", "count").agg(F.count(F.lit(1)).alias("libraries"))
+
+
 # -- tags ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {NAMES_SQL}, s AS (SELECT CASE WHEN NOT regexp_matches(lower(name), '[.](wav|mp3|aiff|aif|aifc)$') THEN 'skip-ext' ELSE 'ok' END AS status FROM names) SELECT status, count(*) AS n FROM s GROUP BY 1")
+@query(f"WITH {NAMES_SQL}, n AS (SELECT CASE WHEN p_partkey % 11 = 0 THEN ' - .mp3' ELSE name END AS name FROM names), s AS (SELECT CASE WHEN NOT regexp_matches(lower(name), '[.](wav|mp3|aiff|aif|aifc)$') THEN 'skip-ext' WHEN name = ' - .mp3' THEN 'skip-noname' ELSE 'ok' END AS status FROM n) SELECT status, count(*) AS n FROM s GROUP BY 1")
 def q33_status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.tally(src.names(spark, sf_dir).select(codec.predicted_status(F.col("name")).alias("status")))
+    name = F.when(F.col("p_partkey") % 11 == 0, " - .mp3").otherwise(F.col("name"))
+    return codec.tally(src.names(spark, sf_dir).select(codec.predicted_status(name).alias("status")))
 
 
-def _media(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    """Files made from texts, whole or their first ``chars`` characters: WAV, AIFF and MP3 in turn."""
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("s")).where("s <> ''")
-    body = F.concat(F.col("s").cast("binary"), F.when(F.octet_length("s") % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
+_OLD_TAG, _OLD_INFO = codec.id3_tag("Old", "Tag" * 9), codec.info_chunk("Old", "Tag")
+
+
+def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made from whole texts, WAV, AIFF and MP3 in turn: some with old tags, in front of their audio
+    or behind it, some broken, without a name or with the extension of no format that is written.
+    """
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s")).where("s <> ''")
+    kind, odd = F.col("doc_id") % 3, F.col("doc_id") % 7
     size = F.octet_length("s")
+    body = F.concat(F.col("s").cast("binary"), F.when(size % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
     big = F.unhex(F.lpad(F.hex(size), 8, "0"))
-    little = F.reverse(F.regexp_extract_all(F.lpad(F.hex(size), 8, "0"), F.lit("(..)"), F.lit(1)))
-    little = F.unhex(F.array_join(little, ""))
-    wav = F.concat(F.lit("RIFF").cast("binary"), F.unhex(F.lit("00000000")), F.lit("WAVEdata").cast("binary"), little, body)
-    aiff = F.concat(F.lit("FORM").cast("binary"), F.unhex(F.lit("00000000")), F.lit("AIFFSSND").cast("binary"), big, body)
-    mp3 = F.concat(F.unhex(F.lit("FFFB9000")), F.col("s").cast("binary"))
-    kind = F.col("doc_id") % 3
-    content = F.when(kind == 0, wav).when(kind == 1, aiff).otherwise(mp3)
-    ext = F.when(kind == 0, ".wav").when(kind == 1, ".aif").otherwise(".mp3")
-    return rows.select("doc_id", F.concat(F.lit("/m/Artist "), (F.col("doc_id") % 9).cast("string"), F.lit(" - Song "), F.col("doc_id").cast("string"), ext).alias("path"), content.alias("content"))
-
-
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'data' ELSE 'SSND' END AS id, 12::BIGINT AS pos, strlen(substr(text, 1, 40))::BIGINT AS size FROM documents WHERE doc_id % 3 < 2 AND strlen(substr(text, 1, 40)) > 0")
+    little = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(size), 8, "0"), F.lit("(..)"), F.lit(1))), ""))
+    head = lambda text: F.concat(F.lit(text[:4]).cast("binary"), F.unhex(F.lit("00000000")), F.lit(text[4:]).cast("binary"))
+    around = lambda whole, tag: F.when(odd == 1, F.concat(whole[0], F.lit(tag), *whole[1:])).when(odd == 2, F.concat(*whole, F.lit(tag))).otherwise(F.concat(*whole))
+    wav = around((head("RIFFWAVE"), F.lit("data").cast("binary"), little, body), _OLD_INFO)
+    aiff = around((head("FORMAIFF"), F.lit("SSND").cast("binary"), big, body), codec.chunk(b"ID3 ", _OLD_TAG, ">"))
+    audio = F.concat(F.unhex(F.lit("FFFB9000")), F.col("s").cast("binary"))
+    mp3 = F.when(odd.isin(1, 2), F.concat(F.lit(_OLD_TAG), audio)).otherwise(audio)
+    content = F.when(kind == 2, mp3).when(odd == 3, F.lit(b"neither of both")).when(kind == 0, wav).otherwise(aiff)
+    ext = F.when(odd == 4, ".flac").when(kind == 0, ".wav").when(kind == 1, ".aif").otherwise(".mp3")
+    folder = F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit("/"))
+    name = F.when(odd == 5, " - ").otherwise(F.concat(F.lit("Artist "), (F.col("doc_id") % 9).cast("string"), F.lit(" - Song "), F.col("doc_id").cast("string")))
+    return rows.select("doc_id", F.concat(folder, name, ext).alias("path"), content.alias("content"))
+
+
+_CHUNKS_SQL = f"""files AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'data' ELSE 'SSND' END AS id, CASE doc_id % 3 WHEN 0 THEN 'LIST' ELSE 'ID3 ' END AS tag, strlen(text) AS size, doc_id % 7 AS odd,
+                  CASE doc_id % 3 WHEN 0 THEN {len(_OLD_INFO) - 8} ELSE {len(_OLD_TAG)} END AS tag_size FROM documents WHERE doc_id % 3 < 2 AND doc_id % 7 <> 3 AND strlen(text) > 0)"""
+
+
+@query(f"WITH {_CHUNKS_SQL} SELECT doc_id, id, CAST(CASE odd WHEN 1 THEN 20 + tag_size + tag_size % 2 ELSE 12 END AS BIGINT) AS pos, CAST(size AS BIGINT) AS size FROM files UNION ALL SELECT doc_id, tag, CAST(CASE odd WHEN 1 THEN 12 ELSE 20 + size + size % 2 END AS BIGINT), tag_size FROM files WHERE odd IN (1, 2)")
 def q35_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.udtf.register("chunk_table", codec.ChunkTable)
-    # The sizes in its SQL are those of 40 characters.
-    _media(spark, sf_dir, 40).createOrReplaceTempView("media_files")
-    return spark.sql("SELECT doc_id, c.id, c.pos, c.size FROM media_files, LATERAL chunk_table(content) c")
+    return spark.sql("SELECT doc_id, c.id, c.pos, c.size FROM {files}, LATERAL chunk_table(content) c", files=_media(spark, sf_dir))
 
 
-@query("SELECT '/m/Artist ' || doc_id % 9 || ' - Song ' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.wav' WHEN 1 THEN '.aif' ELSE '.mp3' END AS path, 'ok' AS status, 'Artist ' || doc_id % 9 AS artist, 'Song ' || doc_id AS title FROM documents WHERE strlen(substr(text, 1, 40)) > 0")
+@query("WITH f AS (SELECT *, CASE WHEN doc_id % 7 = 4 THEN 'skip-ext' WHEN doc_id % 7 = 5 THEN 'skip-noname' WHEN doc_id % 7 = 3 AND doc_id % 3 < 2 THEN 'error' ELSE 'ok' END AS status FROM documents WHERE strlen(text) > 0) SELECT '/m/' || doc_id || '/' || CASE WHEN doc_id % 7 = 5 THEN ' - ' ELSE 'Artist ' || doc_id % 9 || ' - Song ' || doc_id END || CASE WHEN doc_id % 7 = 4 THEN '.flac' WHEN doc_id % 3 = 0 THEN '.wav' WHEN doc_id % 3 = 1 THEN '.aif' ELSE '.mp3' END AS path, status, CASE status WHEN 'ok' THEN 'Artist ' || doc_id % 9 END AS artist, CASE status WHEN 'ok' THEN 'Song ' || doc_id END AS title, CASE WHEN status <> 'ok' THEN 0 WHEN doc_id % 3 = 2 THEN 1 ELSE 2 END AS parts FROM f")
 def q36_tag_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = codec.tag_files(_media(spark, sf_dir))
-    return tagged.withColumn("tags", codec.tags_of("content")).select("path", "status", "tags.artist", "tags.title")
+    """``parts`` is how many chunks a file has then: its audio and one tag, whatever it had before."""
+    tagged = codec.tag_files(_media(spark, sf_dir)).withColumn("tags", codec.tags_of("content"))
+    return tagged.select("path", "status", "tags.artist", "tags.title", F.coalesce(codec.part_count("content"), F.lit(0)).alias("parts"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars > 1048576 THEN printf('%.1f MB', n_chars / 1048576.0) ELSE CAST(ceil(n_chars / 1024.0) AS BIGINT) || ' KB' END AS shown FROM documents")

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from curatrix.operators import codec, collection
-from curatrix.sources import actions, database, files, settings
+from curatrix.sources import actions, database, files, library, settings
 
 
 def pairs(spark, rows):
@@ -120,3 +120,68 @@ def test_collection_file(spark, tmp_path):
     entry = collection.load_entries(tables["content"], tables["cues"], tables["playlists"]).first()
     assert (entry.id, entry.ext, entry.plays, entry.cue_ids, entry.playlist_rows) == ("1", ".mp3", 3, ["q"], [])
     assert database.locate(None, ("/none", path)) == path and database.locate("/none") is None
+
+
+def test_health_scan_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "Crate"
+    folder.mkdir()
+    wave = lambda text: b"RIFF\x14\0\0\0WAVEdata" + len(text).to_bytes(4, "little") + text
+    (folder / "Orla - Mist.wav").write_bytes(wave(b"same"))
+    (folder / "Orla - Mist copy.wav").write_bytes(wave(b"same"))
+    (folder / "Zoe, Abel - Rain.wav").write_bytes(wave(b"else"))
+    (folder / "hum.wav").write_bytes(wave(b"humming"))
+    (folder / "tagged.wav").write_bytes(codec.write_wav(wave(b"tagged!!"), "Orla", "Mist"))
+    plain = settings.Settings(prefer_tags=False)
+    found = library.health_scan(spark, str(folder), plain)
+    report = found.report.first()
+    assert (found.audio_files, report.rename_issues, report.manual_review) == (5, 1, 2)
+    assert (report.file_groups, report.file_extras, report.score) == (1, 1, 100)
+    assert [r.code for r in found.issues.orderBy("place").collect()] == ["rename-issues", "manual-review", "file-duplicates", "collection-not-configured"]
+    # With tags, the tagged file gets its name from them; its song's other file is an extra already.
+    path = str(tmp_path / "c.db")
+    with sqlite3.connect(path) as db:
+        db.executescript("CREATE TABLE djmdContent (ID, FolderPath, FileNameL, FileNameS, Title, ArtistID, created_at, DJPlayCount INT, Rating INT, Commnt); CREATE TABLE djmdCue (ID, ContentID); CREATE TABLE djmdSongPlaylist (ID, PlaylistID, ContentID); CREATE TABLE djmdArtist (ID, Name)")
+        for i, p in enumerate([folder / "hum.wav", folder / "gone.wav", folder / "GONE.wav", folder / "lost.wav", tmp_path / "other" / "x.wav"]):
+            db.execute("INSERT INTO djmdContent (ID, FolderPath) VALUES (?, ?)", (str(i), str(p)))
+    found = library.health_scan(spark, str(folder), settings.Settings(master_db="/nowhere.db"), candidates=(path,))
+    report = found.report.first()
+    assert (report.rename_issues, report.manual_review, report.file_groups, report.file_extras) == (2, 1, 1, 1)
+    assert (report.missing_files, report.collection_groups, report.collection_extras) == (3, 1, 1) and found.database == path
+    assert found.missing_sample == tuple(str(folder / n) for n in ("gone.wav", "GONE.wav", "lost.wav"))
+    assert "missing-files" in [r.code for r in found.issues.collect()]
+    # A running application, a file that is no database, and a configured one that is gone.
+    assert [r.code for r in library.health_scan(spark, str(folder), plain, running=True, candidates=(path,)).issues.orderBy("place").collect()][-1] == "collection-running"
+    (tmp_path / "bad.db").write_bytes(b"no database at all" * 100)
+    bad = library.health_scan(spark, str(folder), settings.Settings(master_db=str(tmp_path / "bad.db")))
+    assert [r.code for r in bad.issues.orderBy("place").collect()][-1] == "collection-inspection" and bad.report.first().missing_files == 0
+    gone = library.health_scan(spark, str(folder), settings.Settings(master_db="/nowhere.db", prefer_tags=False)).report.first()
+    assert gone.score == 95
+
+
+def test_databases_are_found(tmp_path):
+    db, options = tmp_path / "m.db", tmp_path / "options.json"
+    db.write_bytes(b"")
+    options.write_text(json.dumps({"options": [["x", 1], ["db-path", str(db)]]}))
+    assert database.locate("/none", (), ("/no.json", str(options))) == str(db)
+    for text in ("{", "[]", '{"options": [["db-path"]]}', '{"options": [["y", "z"]]}'):
+        options.write_text(text)
+        assert database.locate(None, (), (str(options),)) is None
+
+
+def test_files_that_are_there(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("x")
+    paths = [str(tmp_path / "a b.txt"), f"file:{tmp_path}/a b.txt", f"file://{tmp_path}/a b.txt", str(tmp_path), str(tmp_path / "c"), None, "odd://x/y"]
+    rows = files.existing(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert sorted(r.path for r in rows) == sorted(paths[:3])
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from curatrix import lineage
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("C", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False, "isEmpty": lambda self: True})()})()})()
+
+    session = type("S", (), {"sparkContext": Context(), "conf": type("F", (), {"get": lambda self, *a: None})()})()
+    with pytest.raises(ValueError, match="checkpoint"):
+        lineage.shared_dir(session)

@@ -154,17 +154,18 @@ def test_errors_and_statuses(spark):
     assert [tuple(r) for r in tags.collect()] == [("A", "T"), (None, None), (None, None)]
 
 
-def test_queries_pass_whole_texts_and_all_files(spark, sf_dir, tmp_path, monkeypatch):
-    texts = {i: t for i, t in enumerate(["a", "é" * 33, "x" * 41, "word " * 200_000, "é" * 70_001, "z" * 300_000, ""])}
+def test_queries_pass_whole_texts_and_all_files(spark, tmp_path, monkeypatch):
+    texts = {i: t for i, t in enumerate(["a", "é" * 33, "x" * 41, "word " * 200_000, "é" * 70_001, "z" * 300_000, "y" * 7, "", "k" * 9])}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     seen, real = [], codec.tag_files
     monkeypatch.setattr(codec, "tag_files", lambda files: seen.append(files) or real(files))
-    tagged = queries.q36_tag_roundtrip(spark, str(tmp_path)).collect()
-    assert {(r.status, r.artist, r.title) for r in tagged} == {("ok", f"Artist {i}", f"Song {i}") for i in range(6)}
+    tagged = {int(r.path.split("/")[2]): r for r in queries.q36_tag_roundtrip(spark, str(tmp_path)).collect()}
+    assert {i: r.status for i, r in tagged.items()} == {0: "ok", 1: "ok", 2: "ok", 3: "error", 4: "skip-ext", 5: "skip-noname", 6: "ok", 8: "ok"}
+    assert all((r.artist, r.title) == ((f"Artist {i}", f"Song {i}") if r.status == "ok" else (None, None)) for i, r in tagged.items())
     files = {r.doc_id: bytes(r.content) for r in seen[0].collect()}
-    assert sorted(files) == list(range(6)) and all(texts[i].encode() in data for i, data in files.items())
-    spark.udtf.register("chunk_table", codec.ChunkTable)
-    seen[0].createOrReplaceTempView("whole_files")
-    sizes = {r.doc_id: (r.id, r.size) for r in spark.sql("SELECT doc_id, c.* FROM whole_files, LATERAL chunk_table(content) c").collect()}
-    assert sizes == {i: ("SSND" if i % 3 else "data", len(texts[i].encode())) for i in (0, 1, 3, 4)}
-    assert {r.doc_id for r in queries.q35_chunk_table(spark, str(tmp_path)).collect()} == {0, 1, 3, 4}
+    assert sorted(files) == sorted(tagged) and all(texts[i].encode() in data for i, data in files.items() if i != 3)
+    sizes = {}
+    for r in queries.q35_chunk_table(spark, str(tmp_path)).collect():
+        sizes.setdefault(r.doc_id, []).append((r.id, r.size))
+    assert {i: [x for x in found if x[0] in ("data", "SSND")] for i, found in sizes.items()} == {i: [("SSND" if i % 3 else "data", len(texts[i].encode()))] for i in (0, 1, 4, 6)}
+    assert len(sizes[1]) == 2  # its old tag stands in front
