@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from curatrix.llm.common import materialize, spare
 
-#: Rows of a cell, about: a task permutes one cell at a time.
-CELL_ROWS = 1_000_000
+#: Rows of a cell and bytes of its texts, at most or so: a task permutes one cell at a time.
+CELL_ROWS, CELL_BYTES = 1_000_000, 128 << 20
 #: Rows of an input part are 2**PART_BITS at most, whatever the size of a Spark partition.
 PART_BITS = 20
 _LARGE = 10**9  # numpy draws from fewer
@@ -98,6 +98,11 @@ class Matrix:
         return cells
 
 
+def cells_per_shard(rows: int, size: int, shards: int, cell_rows: int, tasks: int) -> int:
+    """As many as rows, bytes and the number of tasks ask for."""
+    return max(1, *(math.ceil(n / shards) for n in (rows / cell_rows, size / CELL_BYTES, tasks)))
+
+
 def cell_sizes(rows: int, shards: int, per_shard: int) -> np.ndarray:
     """Sizes of the cells, shard by shard; shards differ by one row at most, cells of one too."""
     sizes = [rows // shards + (s < rows % shards) for s in range(shards)]
@@ -117,10 +122,12 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 17, cell_rows: i
     at_name, cell_name, key_name = (spare(df, n) for n in ("__at", "__cell", "__key"))
     held = materialize(df.withColumn(at_name, F.monotonically_increasing_id()), "shard")
     part = F.shiftright(F.col(at_name), PART_BITS)
-    found = held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("part")
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    each = sum(wide, F.lit(8 * (1 + len(df.columns)))).cast("long")
+    found = held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("bytes")).toPandas().sort_values("part")
     parts, counts = found["part"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
     rows = int(counts.sum())
-    per_shard = max(1, math.ceil(rows / shards / cell_rows), math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / shards))
+    per_shard = cells_per_shard(rows, int(found["bytes"].sum()), shards, cell_rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = spark.sparkContext.broadcast((parts, counts))
     sizes = (rows, shards, per_shard)
     schema = T.StructType([*held.schema.fields, T.StructField(cell_name, T.IntegerType()), T.StructField(key_name, T.LongType())])

@@ -18,6 +18,17 @@ def test_sizes_are_exact_and_slots_gapless(spark, rows, shards):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sizes[s]))
 
 
+def test_rows_bytes_and_tasks_make_cells(spark, monkeypatch):
+    assert sharding.cells_per_shard(0, 0, 16, 10**6, 8) == 1
+    assert sharding.cells_per_shard(10**8, 0, 16, 10**6, 8) == 7
+    assert sharding.cells_per_shard(10, 64 << 30, 16, 10**6, 8) == 32
+    assert sharding.cells_per_shard(10, 10, 16, 10**6, 200) == 13
+    monkeypatch.setattr(sharding, "CELL_BYTES", 3000)
+    df = spark.range(40, numPartitions=2).select("id", F.repeat(F.lit("é"), 500).alias("text"), F.lit(None).cast("binary").alias("b"))
+    rows = sharding.shuffle_into_shards(df, 2).collect()
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(20)) for s in range(2))
+
+
 def test_same_seed_same_result(spark):
     df = spark.range(300, numPartitions=4)
     first, again, other = (sorted(map(tuple, sharding.shuffle_into_shards(df, 4, seed).collect())) for seed in (1, 1, 2))
