@@ -140,7 +140,7 @@ def relink_plan(content: DataFrame, mapping: DataFrame, folder: str = "") -> Dat
 def with_artists(artists: DataFrame, plan: DataFrame) -> DataFrame:
     """``artists`` (id, name) with a row for each of the plan's artists that is missing; ids follow names."""
     wanted = plan.where("artist <> ''").select(F.col("artist").alias("name")).distinct().join(artists.select("name"), "name", "left_anti")
-    return artists.select("id", "name").unionByName(wanted.select(F.abs(F.xxhash64("name")).cast("string").alias("id"), "name"))
+    return artists.select("id", "name").unionByName(wanted.select(F.shiftrightunsigned(F.xxhash64("name"), 1).cast("string").alias("id"), "name"))
 
 
 def apply_relink(content: DataFrame, plan: DataFrame, set_title: bool = True, refresh_artist: bool = True, on_disk: DataFrame | None = None, artists: DataFrame | None = None) -> DataFrame:
