@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import kth_largest, materialize
-from curatrix.llm.words import Words, blocks, span_hashes
+from curatrix.llm.words import Words, blocks, mix
 
-STATES, SYMBOLS, CLASSES, KNOWN_WORDS, ROUNDS, SEGMENT = 6, 4096, 1024, 300_000, 5, 128
+STATES, SYMBOLS, CLASSES, KNOWN_WORDS, ROUNDS, SEGMENT = 6, 4096, 1024, 300_000, 5, 512
 BLOCK_BYTES, BUCKET_BYTES = 1 << 22, 64 << 20
 #: Segments that forward and backward vectors are held for at a time.
-_HELD_SEGMENTS = 4096
+_HELD_SEGMENTS = 1024
 _HELD_WORDS = 1 << 20
 END = SYMBOLS + CLASSES
 WIDTH = END + 1
@@ -46,8 +46,11 @@ WIDTH = END + 1
 
 def keys_of(words: Words) -> np.ndarray:
     """A key for each word: hash above, class of the ending below."""
-    ending = span_hashes(words.data, np.maximum(words.ends - 3, words.starts), words.ends)
-    return (words.hashes & ~np.uint64(CLASSES - 1)) | (ending % np.uint64(CLASSES))
+    ending = np.zeros(len(words), np.uint64)
+    for k in range(1, 4):  # the last three bytes, or fewer
+        at = words.ends - k
+        ending = ending << np.uint64(8) | np.where(at >= words.starts, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
+    return (words.hashes & ~np.uint64(CLASSES - 1)) | (mix(ending) % np.uint64(CLASSES))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -105,6 +105,13 @@ def test_training_raises_the_likelihood():
     assert logs[-1] > logs[0] + 100 and logs[-1] > words + 100
 
 
+def test_classes_are_of_endings():
+    words = hmm.Words(hmm.pa.array(["walking talking ng g sing é xé a", "", None]))
+    kind = (hmm.keys_of(words) % np.uint64(hmm.CLASSES)).tolist()
+    assert kind[0] == kind[1] == kind[4] and len({kind[0], kind[2], kind[3], kind[5], kind[6], kind[7]}) == 6
+    assert len(set(hmm.keys_of(words).tolist())) == 8 and len(hmm.keys_of(hmm.Words(hmm.pa.array(["", None])))) == 0
+
+
 def test_buckets_grow_with_the_corpus(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     made = []
