@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.llm.common import materialize, some_by_hash
-from curatrix.llm.words import Words, blocks, span_hashes
+from curatrix.llm.words import Words, blocks, mix, span_hashes
 
 WINDOW, BUCKETS, DIMENSIONS = 40, 1 << 17, 4
 MAX_TRAIN = 3000
@@ -61,14 +61,17 @@ def subwords(words: Words, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside[first] = inside[stop - 1] = False
     data[inside] = words.data[np.arange(lengths.sum()) + np.repeat(words.starts[one] - (np.cumsum(lengths) - lengths), lengths)]
     buckets, of = [(span_hashes(data, first, stop) % np.uint64(BUCKETS)).astype(np.int32)], [np.arange(len(one), dtype=np.int32)]
-    for n in (3, 4, 5):
-        many = np.maximum(lengths + 2 - n + 1, 0)
-        before = np.cumsum(many) - many
-        at = np.arange(many.sum()) + np.repeat(first - before, many)
-        buckets.append((span_hashes(data, at, at + n) % np.uint64(BUCKETS)).astype(np.int32))
-        of.append(np.repeat(np.arange(len(one), dtype=np.int32), many))
+    run = data.astype(np.uint64)  # the bytes from each place on as one number, one byte more at a time
+    for n in (2, 3, 4, 5):
+        run = run[: max(0, len(data) - n + 1)] << np.uint64(8) | data[n - 1 :]
+        if n > 2:
+            many = np.maximum(lengths + 2 - n + 1, 0)
+            before = np.cumsum(many) - many
+            at = np.arange(many.sum()) + np.repeat(first - before, many)
+            buckets.append((mix(run[at] | np.uint64(n << 40)) % np.uint64(BUCKETS)).astype(np.int32))
+            of.append(np.repeat(np.arange(len(one), dtype=np.int32), many))
     of_all = np.concatenate(of)
-    del of, at
+    del of, run
     order = np.argsort(of_all, kind="stable")
     return np.concatenate(buckets)[order], np.concatenate([[0], np.cumsum(np.bincount(of_all, minlength=len(one)))])
 
