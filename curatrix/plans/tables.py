@@ -84,16 +84,18 @@ cues AS (SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS id, CAST(conv_id AS VA
 playlists AS (SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS id, role AS playlist_id, CAST(conv_id AS VARCHAR) AS content_id FROM conversations WHERE turn % 2 = 1)
 """
 PATH_KEY_SQL = "array_to_string(list_filter(regexp_split_to_array(lower(nfc_normalize(path)), '[/\\\\]'), lambda p: p NOT IN ('', '.')), '\\')"
+#: A path's name, and the pattern of its root and extension, which leading dots don't begin.
+NAME_SQL, SPLIT_SQL = "regexp_extract(path, '([^/\\\\]*)$', 1)", "^(\\.*.*?)(\\.[^.]*)?$"
 ENTRIES_SQL = f"""
 {COLLECTION_SQL},
 nc AS (SELECT content_id, count(*) AS n_cues FROM cues GROUP BY content_id),
 np AS (SELECT content_id, count(*) AS n_lists FROM playlists GROUP BY content_id),
-loaded AS (SELECT c.*, coalesce(n_cues, 0) AS n_cues, coalesce(n_lists, 0) AS n_lists, lower(regexp_extract(path, '(\\.[^.]*)$', 1)) AS file_ext
+loaded AS (SELECT c.*, coalesce(n_cues, 0) AS n_cues, coalesce(n_lists, 0) AS n_lists, lower(regexp_extract({NAME_SQL}, '{SPLIT_SQL}', 2)) AS file_ext
            FROM content c LEFT JOIN nc ON nc.content_id = c.id LEFT JOIN np ON np.content_id = c.id
            WHERE path <> '' AND path NOT LIKE 'spotify:%'),
 entries AS (SELECT *, 3 * n_cues + 2 * n_lists + plays + CAST(rating <> 0 AS INTEGER) + CAST(comment <> '' AS INTEGER) AS info,
                    CASE WHEN file_ext IN ('.wav', '.aiff', '.aif', '.aifc', '.flac') THEN 3 WHEN file_ext IN ('.m4a', '.ogg', '.mp3') THEN 1 ELSE 0 END AS quality_rank,
-                   {PATH_KEY_SQL} AS path_key, regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]*$', '') AS stem FROM loaded),
+                   {PATH_KEY_SQL} AS path_key, regexp_extract({NAME_SQL}, '{SPLIT_SQL}', 1) AS stem FROM loaded),
 keyed AS (SELECT *, CASE WHEN contains(stem, ' - ') THEN trim(split_part(stem, ' - ', 1)) ELSE '' END AS song_artist,
                  CASE WHEN contains(stem, ' - ') THEN trim(substr(stem, position(' - ' IN stem) + 3)) ELSE trim(stem) END AS song_title FROM entries),
 songs AS (SELECT *, {key_sql('song_artist')} || '|' || {key_sql("replace(song_title, 'º', 'o')")} AS song_key FROM keyed),
