@@ -3,12 +3,13 @@
 Each distinct text has a signature of LEVELS MinHash values in each of TREES trees. A tree is the prefix
 trie of its signatures, kept as a table sorted by signature: texts that share a prefix stand in a row, a
 subtree. Two texts are candidates if they share a subtree of their tree's depth in any tree. Depths
-begin at whole signatures and are shortened tree by tree, as what was found demands: neighbours in the
-sorted table that share a prefix of some length, SAMPLE_PAIRS at most for each length, are compared
-exactly, and as long as the links among them, band by band of similarity, are found by a forest of the
-depths with less than the target recall, the longest prefix is shortened by one value. A band counts
-one link at its lower edge more than were seen, so that the target also holds where none was seen.
-Every candidate pair is then verified on the n-grams of both whole texts.
+begin at whole signatures and are shortened tree by tree, as what was found demands: all neighbours in
+the sorted table that share two values or more are compared exactly, and as long as the links among them,
+band by band of similarity, are found by a forest of the depths with less than the target recall, the
+longest prefix is shortened by one value. A band counts one link at its lower edge more than were seen,
+so that the target also holds where none was seen. Tasks add up counts for each depth the prefixes can
+get to, so the driver sees no pairs. Every candidate pair is then verified on the n-grams of both whole
+texts.
 
 Equal texts are one class and enter once, with their number. A subtree is cut into tiles of about TILE
 texts and TILE_BYTES of text, and each pair of tiles is one task's piece of work, however large the
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import kth_largest, materialize, spare
@@ -37,8 +38,10 @@ from curatrix.llm.words import Words, blocks
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 16, 8, 0.9995
-SAMPLE_PAIRS, BANDS = 500, 4
+BANDS = 4
 TILE, TILE_BYTES = 256, 4 << 20
+#: Probabilities are added up as whole numbers of this unit, so that sums do not depend on their order.
+UNIT = 2.0**-30
 #: Ids are broadcast up to this number, 16 bytes each or so; beyond it texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -107,48 +110,89 @@ def shared_levels(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return out
 
 
+def between_files(forest: DataFrame) -> list[tuple[int, int, int]]:
+    """``level, a, b`` of the neighbours that stand in different files or partitions of a sorted forest.
+
+    The driver gets the first and the last row of each.
+    """
+    row = F.struct("tree", "hi", "lo", "rep")
+    part = [F.spark_partition_id().alias("p"), F.input_file_name().alias("f"), F.input_file_block_start().alias("s")]
+    ends = sorted((tuple(r["first"]), tuple(r["last"])) for r in forest.select(*part, row.alias("row")).groupBy("p", "f", "s").agg(F.min("row").alias("first"), F.max("row").alias("last")).collect())
+    out = []
+    for (_, x), (y, _) in zip(ends[:-1], ends[1:], strict=True):
+        level = int(shared_levels(*(np.array([x[k], y[k]]).view(np.uint64) for k in (1, 2)))[1])
+        if x[0] == y[0] and level > 1:
+            out.append((level, min(x[3], y[3]), max(x[3], y[3])))
+    return out
+
+
 def neighbours(forest: DataFrame) -> DataFrame:
     """``level, a, b``: texts next to each other in a tree that share two values or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            tree, hi, lo, rep = (batch.column(k).to_numpy() for k in range(4))
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(4)]
+            tree, hi, lo, rep = columns if last is None else (np.concatenate(both) for both in zip(last, columns, strict=True))
+            last = [c[-1:].copy() for c in columns]
             level = shared_levels(hi.view(np.uint64), lo.view(np.uint64))
             level[1:][tree[1:] != tree[:-1]] = 0
             at = np.flatnonzero(level > 1)
             yield pa.RecordBatch.from_arrays([pa.array(level[at].astype(np.int32)), pa.array(np.minimum(rep[at - 1], rep[at])), pa.array(np.maximum(rep[at - 1], rep[at]))], names=["level", "a", "b"])
 
-    return forest.select("tree", "hi", "lo", "rep").mapInArrow(run, "level int, a long, b long")
+    schema = "level int, a long, b long"
+    within = forest.select("tree", "hi", "lo", "rep").mapInArrow(run, schema)
+    across = between_files(forest)
+    return within.unionAll(forest.sparkSession.createDataFrame([Row(level=k, a=a, b=b) for k, a, b in across], schema)) if across else within
+
+
+def bodies_of(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rep, text_key, body``: the distinct texts of these ids."""
+    texts = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
+    return texts.select("rep", F.unhex(F.md5(F.col("body").cast("binary"))).alias("text_key"), "body").dropDuplicates(["rep", "text_key"])
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
+
 
+def both_bodies(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a_body, b_body`` of each pair; an id is in no more pairs than it has neighbours, two a tree."""
+    left, right = (texts.select(F.col("rep").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a_body", "b_body")
+
+
+def jaccard(block: pa.RecordBatch, n: int) -> np.ndarray:
+    """The Jaccard index of the n-grams of the texts in the first two columns of each row."""
+    both = [Words(block.column(k)).ngrams(n) for k in (0, 1)]
+    out = np.zeros(block.num_rows)
+    for i in range(block.num_rows):
+        x, y = (np.unique(g[ptr[i] : ptr[i + 1]]) for g, _, ptr in both)
+        same = len(np.intersect1d(x, y, assume_unique=True))
+        out[i] = same / max(1, len(x) + len(y) - same)
+    return out
+
+
+def sampled_similarities(forest: DataFrame, bodies: DataFrame, n: int, most: int = 500) -> np.ndarray:
+    """Jaccard indices of some neighbours, for a look at a forest: ``most`` for each number of shared values.
 
-def sampled_similarities(forest: DataFrame, bodies: DataFrame, n: int, most: int = SAMPLE_PAIRS) -> np.ndarray:
-    """Jaccard indices of neighbours: for each number of shared values ``most`` pairs, by their hash."""
+    ``join_similar`` takes nothing from it; see ``neighbour_links``.
+    """
     pairs = materialize(neighbours(forest).groupBy("a", "b").agg(F.max("level").alias("level")).select("level", "a", "b", F.shiftright(F.xxhash64("a", "b"), 2).alias("key")), "neighbours")
-    chosen = None
+    chosen = pairs.limit(0)
     for r in pairs.groupBy("level").count().collect():
         some = pairs.where(F.col("level") == r["level"])
         at = kth_largest(some.select("key"), most) if r["count"] > most else None
-        some = some if at is None else some.where(F.col("key") >= at)
-        chosen = some if chosen is None else chosen.unionAll(some)
-    if chosen is None:
-        return np.zeros(0)
-    chosen = materialize(chosen.select("a", "b"), "sample")
-    ends = chosen.select(F.col("a").alias("rep")).unionAll(chosen.select(F.col("b").alias("rep"))).distinct()
-    # 2 * LEVELS * SAMPLE_PAIRS ids at most.
-    texts = materialize(bodies.join(F.broadcast(ends), "rep", "left_semi").groupBy("rep").agg(F.min("body").alias("body")), "sample")
-    left, right = (texts.select(F.col("rep").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
+        chosen = chosen.unionAll(some if at is None else some.where(F.col("key") >= at))
+    chosen = materialize(chosen.select("a", "b"), "some")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "a_body"):
-            both = [Words(block.column(k)).ngrams(n) for k in (0, 1)]
-            out = []
-            for i in range(block.num_rows):
-                x, y = (np.unique(g[ptr[i] : ptr[i + 1]]) for g, _, ptr in both)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(same / max(1, len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["similarity"])
-
-    met = chosen.join(left, "a").join(right, "b").select("a_body", "b_body")
+            yield pa.RecordBatch.from_arrays([pa.array(jaccard(block, n))], names=["similarity"])
+
+    met = both_bodies(chosen, bodies_of(bodies, ends_of(chosen)))
     return np.array([r[0] for r in met.mapInArrow(run, "similarity double").collect()])
 
 
@@ -157,19 +201,76 @@ def found_with(depths: np.ndarray, similarity: np.ndarray) -> np.ndarray:
     return 1 - np.prod(1 - similarity[:, None] ** depths[None, :], axis=1)
 
 
-def recall_of(depths: np.ndarray, similarity: np.ndarray, threshold: float, bands: int = BANDS) -> float:
-    """The least recall of any band of links, each with one link more at its lower edge."""
-    edges = threshold + (1 - threshold) * np.arange(bands) / bands
-    of = np.searchsorted(edges, similarity + 1e-12, "right") - 1
-    return min(float(found_with(depths, np.append(similarity[of == k], edge)).mean()) for k, edge in enumerate(edges))
+def lower_edges(threshold: float, bands: int = BANDS) -> np.ndarray:
+    return threshold + (1 - threshold) * np.arange(bands) / bands
 
 
-def shorten(similarity: np.ndarray, threshold: float, trees: int = TREES, recall: float = RECALL) -> np.ndarray:
-    """Each tree's depth: prefixes are shortened, the longest first, until the recall is reached."""
+def schedule(trees: int) -> np.ndarray:
+    """The depths of all trees at each step of shortening: the longest prefix loses one value."""
     depths = np.full(trees, LEVELS)
-    while depths.max() > 1 and recall_of(depths, similarity, threshold) < recall:
+    steps = [depths.copy()]
+    while depths.max() > 1:
         depths[int(depths.argmax())] -= 1
-    return depths
+        steps.append(depths.copy())
+    return np.array(steps)
+
+
+def tally(steps: np.ndarray, similarity: np.ndarray, threshold: float, bands: int = BANDS) -> np.ndarray:
+    """For each band its number of links, then for each step how many of them are found, in UNITs.
+
+    Tallies of parts of the links add up to that of all, exactly.
+    """
+    of = np.searchsorted(lower_edges(threshold, bands), similarity + 1e-12, "right") - 1
+    out = np.zeros((bands, 1 + len(steps)), np.int64)
+    for k in range(bands):
+        links = similarity[of == k]
+        out[k, 0] = len(links)
+        out[k, 1:] = [np.rint(found_with(depths, links) / UNIT).astype(np.int64).sum() for depths in steps]
+    return out
+
+
+def recalls(steps: np.ndarray, tallied: np.ndarray, threshold: float) -> np.ndarray:
+    """For each step the least recall of any band of links, each with one link more at its lower edge."""
+    edge = np.array([found_with(depths, lower_edges(threshold, len(tallied))) for depths in steps]).T
+    return ((tallied[:, 1:] * UNIT + edge) / (tallied[:, :1] + 1)).min(0)
+
+
+def recall_of(depths: np.ndarray, similarity: np.ndarray, threshold: float, bands: int = BANDS) -> float:
+    return float(recalls(depths[None], tally(depths[None], similarity, threshold, bands), threshold)[0])
+
+
+def first_step(tallied: np.ndarray, threshold: float, trees: int = TREES, recall: float = RECALL) -> np.ndarray:
+    """Each tree's depth: prefixes are shortened, the longest first, until the recall is reached."""
+    steps = schedule(trees)
+    enough = recalls(steps, tallied, threshold) >= recall
+    return steps[int(enough.argmax()) if enough.any() else -1]
+
+
+def shorten(similarity: np.ndarray, threshold: float, trees: int = TREES, recall: float = RECALL) -> np.ndarray:
+    return first_step(tally(schedule(trees), similarity, threshold), threshold, trees, recall)
+
+
+def neighbour_links(forest: DataFrame, classes: DataFrame, source: DataFrame, n: int, threshold: float, trees: int) -> np.ndarray:
+    """The tally, for all steps of shortening, of all links between neighbours.
+
+    Each pair is compared once, however many trees it is in; a task adds up its pairs.
+    """
+    pairs = materialize(neighbours(forest).where("a <> b").select("a", "b").distinct(), "neighbours")
+    texts = materialize(classes.select("rep", "text_key").join(bodies_of(source, ends_of(pairs)), ["rep", "text_key"]).select("rep", "body"), "ends")
+    steps = schedule(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = tally(steps, np.zeros(0), threshold)
+        for block in blocks(batches, "a_body"):
+            total += tally(steps, jaccard(block, n), threshold)
+        band, step = np.indices(total.shape, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (band, step, total)], names=["band", "step", "total"])
+
+    added = both_bodies(pairs, texts).mapInArrow(run, "band int, step int, total long").groupBy("band", "step").agg(F.sum("total"))
+    out = tally(steps, np.zeros(0), threshold)
+    for band, step, total in added.collect():
+        out[band, step] = total
+    return out
 
 
 def subtree_key(tree: str, hi: str, lo: str, depths: np.ndarray) -> str:
@@ -309,17 +410,14 @@ def join_similar(df: DataFrame, id_column: str, text: str, n: int = WORDS, thres
     body = F.coalesce(F.col(text), F.lit(""))
     source = df.select(F.col(id_column).cast("long").alias("rep"), body.alias("body"))
     forest = materialize(plant(classes, trees), "forest")
-    depths = shorten(sampled_similarities(forest, source, n), threshold, trees, recall)
+    depths = first_step(neighbour_links(forest, classes, source, n, threshold, trees), threshold, trees, recall)
     nodes = forest.select("rep", "size", "tree", F.expr(subtree_key("tree", "hi", "lo", depths)).alias("key"))
     subtrees = nodes.groupBy("key").agg(F.min("tree").alias("tree"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
     tiles = F.greatest(F.ceil(F.max("n") / tile), F.ceil(F.max("bytes") / tile_bytes)).cast("int")
     kept = subtrees.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("first"), tiles.alias("tiles")).select(F.col("first.key").alias("key"), "tiles")
     members = nodes.join(kept, "key").select("rep", "key", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"))
     members = materialize(members, "members")
-    needed = members.select("rep").distinct()
-    wanted = needed.count()
-    texts = source.join(F.broadcast(needed) if wanted <= BROADCAST_IDS else needed, "rep", "left_semi")
-    texts = texts.select("rep", F.unhex(F.md5(F.col("body").cast("binary"))).alias("text_key"), "body").dropDuplicates(["rep", "text_key"])
+    texts = bodies_of(source, members.select("rep").distinct())
     keys = F.expr(f"transform(sequence(0, {trees - 1}), t -> {subtree_key('t', 'sig[2 * t]', 'sig[2 * t + 1]', depths)})")
     whole = classes.join(texts, ["rep", "text_key"]).select("rep", "copies", keys.alias("keys"), "body")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")

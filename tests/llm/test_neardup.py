@@ -136,6 +136,46 @@ def test_forest_is_sorted_and_neighbours_are_sampled(spark):
     assert 0 < len(neardup.sampled_similarities(forest, bodies, 5, most=3)) <= 3 * 7
 
 
+def test_depths_come_from_all_neighbours(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(800):  # more pairs than a bounded choice for each length of prefix would take
+        base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [" ".join(base), " ".join([*base, "more"]), " ".join(["x", *base[rng.randint(0, 6) :]])]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = neardup.signatures(df, "doc_id", "text", 5, 4).groupBy("text_key").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = neardup.materialize(classes)
+    forest = neardup.materialize(neardup.plant(classes, 4))
+    stood = sorted((r.tree, r.hi, r.lo, r.rep) for r in forest.collect())
+    pairs = set()
+    for x, y in itertools.pairwise(stood):
+        hi, lo = (np.array([x[k], y[k]]).view(np.uint64) for k in (1, 2))
+        if x[0] == y[0] and neardup.shared_levels(hi, lo)[1] > 1:
+            pairs.add((min(x[3], y[3]), max(x[3], y[3])))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")  # neighbours in two batches count too
+    try:
+        assert {(r.a, r.b) for r in neardup.neighbours(forest).collect()} == pairs
+        source = df.select(F.col("doc_id").alias("rep"), F.col("text").alias("body"))
+        got = neardup.neighbour_links(forest, classes, source, 5, 0.8, 4)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sets = [shingles(t) for _, t in rows]
+    true = np.array([len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs])
+    assert got.tolist() == neardup.tally(neardup.schedule(4), true, 0.8).tolist() and got[:, 0].sum() == (true >= 0.8).sum() > 1000
+
+
+def test_tallies_of_parts_add_up():
+    true = np.random.default_rng(3).uniform(0.7, 1, 500)
+    steps = neardup.schedule(16)
+    whole = neardup.tally(steps, true, 0.8)
+    assert (whole == neardup.tally(steps, true[:123], 0.8) + neardup.tally(steps, true[123:], 0.8)).all()
+    links = true[true >= 0.8]
+    assert whole[:, 0].sum() == len(links) and np.allclose(whole[:, 1:].sum(0) * neardup.UNIT, [neardup.found_with(d, links).sum() for d in steps], atol=1e-5)
+    assert (neardup.first_step(whole, 0.8) == neardup.shorten(true, 0.8)).all()
+
+
 def test_recall_of_links_near_the_threshold(spark):
     rng = random.Random(11)
     rows = []
